@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from passagework import fixed
 from passagework.functions import chunking
-from passagework.session import spread
 
 CHUNK_TYPE = "array<struct<chunk_no:int,content_chunk:string,n_tokens:bigint>>"
 ARROW_CHUNKS = pa.list_(
@@ -46,7 +45,7 @@ def chunk_documents(
     count: chunking.TokenCounter = chunking.estimate_counts,
 ) -> DataFrame:
     """`(article_id, chunk_no, content_chunk, n_tokens)`; the first two columns are the key."""
-    source = spread(articles.select(F.col(id_col).alias("article_id"), text_col))
+    source = articles.select(F.col(id_col).alias("article_id"), text_col)
     return source.select("article_id", F.inline(chunker(budget, count)(F.col(text_col))))
 
 

@@ -12,7 +12,6 @@ from passagework import fixed
 from passagework.functions import chunking
 from passagework.functions.embedding import HashingProvider, Provider, TooLong
 from passagework.operators.chunk import chunk_documents
-from passagework.session import spread
 
 RESULT_TYPE = "struct<vector:array<float>,error:string>"
 ARROW_RESULT = pa.struct([("vector", pa.list_(pa.float32())), ("error", pa.string())])
@@ -62,17 +61,11 @@ def embed(
     provider: Provider,
     *,
     vector_col: str = "vector",
-    few_rows: bool = False,
 ) -> DataFrame:
-    """`df` plus the vector of `text_col` and an `error` column.
-
-    `few_rows` leaves the partitions as they are, which suits a set of queries.
-    """
+    """`df` plus the vector of `text_col` and an `error` column."""
     result = embedder(provider)(F.col(text_col))
-    return (
-        (df if few_rows else spread(df))
-        .withColumn("_embedded", result)
-        .select(*df.columns, F.col("_embedded.vector").alias(vector_col), "_embedded.error")
+    return df.withColumn("_embedded", result).select(
+        *df.columns, F.col("_embedded.vector").alias(vector_col), "_embedded.error"
     )
 
 
@@ -137,6 +130,19 @@ def pending_titles(articles: DataFrame) -> DataFrame:
     return articles.where(F.col("title_vector").isNull()).select("id", "title")
 
 
+def fill_title_vectors(articles: DataFrame, provider: Provider) -> DataFrame:
+    """`articles` with the missing title vectors computed in place, and `error`.
+
+    One narrow pass: rows that have a vector send NULL to the provider's UDF,
+    and nothing is joined or shuffled.
+    """
+    pending = F.when(F.col("title_vector").isNull(), F.col("title"))
+    filled = F.coalesce("title_vector", "_embedded.vector").alias("title_vector")
+    return articles.withColumn("_embedded", embedder(provider)(pending)).select(
+        *[filled if c == "title_vector" else c for c in articles.columns], "_embedded.error"
+    )
+
+
 def attach_title_vectors(articles: DataFrame, vectors: DataFrame) -> DataFrame:
     """New snapshot of `articles` with `(id, vector)` put in by key; other rows keep theirs."""
     fresh = vectors.where(F.col("vector").isNotNull()).select(

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from passagework import fixed
 from passagework.functions import html, wikitext
-from passagework.session import spread
 
 SECTION_TYPE = "struct<section_no:int,level:int,heading:string,skipped:boolean>"
 ROW_TYPE = "struct<row_no:int,is_header:boolean,cells:array<string>>"
@@ -97,7 +96,7 @@ def read_parts(
     keep = [c for c in pages.columns if c != html_col]
     reader = _reader(parts, root_id, root_tag)
     return (
-        spread(pages)
+        pages
         .withColumn("_page", reader(F.col(html_col)))
         .select(*keep, *[F.col(f"_page.{p}").alias(p) for p in parts], F.col("_page.error"))
     )
@@ -150,7 +149,7 @@ def _wikitext_cleaner():
 
 def clean_wikitext(df: DataFrame, raw_col: str, out: str = "content") -> DataFrame:
     """`df` plus the readable text of its wiki markup column."""
-    return spread(df).withColumn(out, _wikitext_cleaner()(F.col(raw_col)))
+    return df.withColumn(out, _wikitext_cleaner()(F.col(raw_col)))
 
 
 def readable(content: Column) -> Column:

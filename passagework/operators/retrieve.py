@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -11,18 +12,36 @@ from pyspark.sql import functions as F
 
 from passagework.functions.text import text_match
 from passagework.functions.vectors import LocalTopK, inner_product, matrix
+from passagework.session import write_and_read
 
 # Query vectors are sent to every task only up to this many; above it both sides
-# are cut into blocks instead. 4096 vectors of 1536 floats are 24 MB.
-MAX_SENT_QUERIES = 4096
-# One side's share of a block pair, in bytes of vectors.
-BLOCK_BYTES = 32 << 20
+# are cut into blocks instead. 8192 vectors of 1536 floats are 48 MB.
+MAX_SENT_QUERIES = 8192
+# The sides of a block pair, in bytes of vectors. The corpus is shuffled once per
+# query block, so query blocks are the larger ones.
+CORPUS_BLOCK_BYTES = 64 << 20
+QUERY_BLOCK_BYTES = 256 << 20
 # Hits joined back to their text are broadcast up to this many rows.
 MAX_BROADCAST_HITS = 200_000
 
+# Hits of one query are merged in this many groups first.
+MERGE_GROUPS = 32
+
 _HIT = "qid:{qid},id:bigint,similarity:double,k:int"
 
 
+class Hits(NamedTuple):
+    """`(qid, id, similarity, rank)` rows, and their greatest possible number if known."""
+
+    rows: DataFrame
+    bound: int | None
+
+    def to_join(self) -> DataFrame:
+        """The rows, marked for broadcast when their number is known to be small."""
+        small = self.bound is not None and self.bound <= MAX_BROADCAST_HITS
+        return F.broadcast(self.rows) if small else self.rows
+
+
 def _read_queries(table: pa.Table, dim: int):
     qids = table.column("qid").combine_chunks()
     vectors = matrix(table.column("v"), dim)
@@ -54,16 +73,16 @@ def _scan_with_sent_queries(corpus: DataFrame, sent: pa.Table, dim: int, schema:
 
 
 def _scan_block_pairs(
-    corpus: DataFrame, queries: DataFrame, dim: int, n_queries: int, schema: str
+    corpus: DataFrame, queries: DataFrame, dim: int, query_block_rows: int, schema: str
 ) -> DataFrame:
     """Both sides are large: every corpus block meets every query block in one group.
 
     Blocks are hash-made and of limited size, so a task holds one block of each
     side whatever the totals; only each pair's best rows leave it.
     """
-    rows = max(1, BLOCK_BYTES // (8 * dim))
-    corpus_blocks = max(1, -(-corpus.count() // rows))
-    query_blocks = max(1, -(-n_queries // rows))
+    corpus_block_rows = max(1, CORPUS_BLOCK_BYTES // (8 * dim))
+    corpus_blocks = -(-corpus.count() // corpus_block_rows) or 1
+    query_blocks = -(-queries.count() // query_block_rows) or 1
 
     def block(key: str, blocks: int) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
@@ -95,6 +114,21 @@ def _scan_block_pairs(
     )
 
 
+def _merge(found: DataFrame) -> DataFrame:
+    """The tasks' candidates to final ranks, in two steps.
+
+    A query has candidates from every task; they are first cut to `k` in
+    groups by id, so that no task sorts all of them at once.
+    """
+    group = F.pmod("id", F.lit(MERGE_GROUPS))
+    for keys in (["qid", group], ["qid"]):
+        order = Window.partitionBy(*keys).orderBy(F.desc("similarity"), "id")
+        found = found.withColumn("rank", F.row_number().over(order)).where(
+            F.col("rank") <= F.col("k")
+        )
+    return found.drop("k")
+
+
 def nearest(
     corpus: DataFrame,
     queries: DataFrame,
@@ -105,43 +139,51 @@ def nearest(
     query_id: str = "qid",
     query_vector: str = "q",
     max_sent_queries: int = MAX_SENT_QUERIES,
-) -> tuple[DataFrame, int | None]:
+    query_block_rows: int | None = None,
+) -> Hits:
     """The `k` best rows for every query, ranked; ties go to the smaller id.
 
-    Returns `(qid, id, similarity, rank)` and, when the queries were few enough
-    to be sent to the tasks, the largest possible number of hits. `k` may be a
-    column of `queries`. NULL vectors take no part.
-
-    Tasks keep only their own best rows, so at most tasks x queries x k narrow
-    rows are shuffled; texts are joined to the final hits, see `search`.
+    `k` may be a column of `queries`; NULL vectors take no part. Tasks keep
+    only their own best rows, so at most tasks x queries x k narrow rows are
+    shuffled; texts are joined to the final hits, see `search`.
     """
     corpus = corpus.where(F.col(vector_col).isNotNull()).select(
         F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")
     )
     k = F.lit(k) if isinstance(k, int) else k
-    queries = queries.where(F.col(query_vector).isNotNull()).select(
-        F.col(query_id).alias("qid"), F.col(query_vector).alias("v"), k.cast("int").alias("k")
+    queries = (
+        queries.where(F.col(query_vector).isNotNull())
+        .select(
+            F.col(query_id).alias("qid"), F.col(query_vector).alias("v"), k.cast("int").alias("k")
+        )
+        .where("k > 0")
     )
     schema = _HIT.format(qid=dict(queries.dtypes)["qid"])
 
     sent = queries.limit(max_sent_queries + 1).toArrow()
     if not sent.num_rows:
-        spark = corpus.sparkSession
-        return spark.createDataFrame([], schema).drop("k").withColumn("rank", F.lit(0)), 0
+        none = corpus.sparkSession.createDataFrame([], schema)
+        return Hits(none.drop("k").withColumn("rank", F.lit(0)), 0)
     dim = len(sent.column("v")[0])
     if sent.num_rows <= max_sent_queries:
         found = _scan_with_sent_queries(corpus, sent, dim, schema)
-        bound = sum(sent.column("k").to_pylist())
-    else:
-        found = _scan_block_pairs(corpus, queries, dim, queries.count(), schema)
-        bound = None
-    order = Window.partitionBy("qid").orderBy(F.desc("similarity"), "id")
-    ranked = (
-        found.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= F.col("k"))
-        .drop("k")
-    )
-    return ranked, bound
+        return Hits(_merge(found), sum(sent.column("k").to_pylist()))
+    # stored, so that counting, scoring and retries do not embed the queries again
+    queries = write_and_read(queries, "queries")
+    block_rows = query_block_rows or max(1, QUERY_BLOCK_BYTES // (8 * dim))
+    return Hits(_merge(_scan_block_pairs(corpus, queries, dim, block_rows, schema)), None)
+
+
+def with_payload(
+    hits: Hits, table: DataFrame, payload: Sequence[str], *, id_col: str = "id"
+) -> DataFrame:
+    """Hit rows with columns of the table they were found in.
+
+    The scoring pass reads ids and vectors only; wide text columns are read
+    here, against the few hits.
+    """
+    texts = table.select(F.col(id_col).alias("id"), *payload)
+    return texts.join(hits.to_join(), "id").select("qid", "rank", "id", *payload, "similarity")
 
 
 def search(
@@ -152,27 +194,10 @@ def search(
     id_col: str,
     vector_col: str,
     payload: Sequence[str],
-    query_id: str = "qid",
-    query_vector: str = "q",
 ) -> DataFrame:
-    """`nearest`, then the hit rows' `payload` columns.
-
-    The scoring pass reads ids and vectors only; wide text columns are read in
-    a second pass against the few hits, broadcast when their number is bounded.
-    """
-    hits, bound = nearest(
-        corpus,
-        queries,
-        k,
-        id_col=id_col,
-        vector_col=vector_col,
-        query_id=query_id,
-        query_vector=query_vector,
-    )
-    if bound is not None and bound <= MAX_BROADCAST_HITS:
-        hits = F.broadcast(hits)
-    texts = corpus.select(F.col(id_col).alias("id"), *payload)
-    return texts.join(hits, "id").select("qid", "rank", "id", *payload, "similarity")
+    """`nearest` over `queries(qid, q)`, then the hit rows' `payload` columns."""
+    hits = nearest(corpus, queries, k, id_col=id_col, vector_col=vector_col)
+    return with_payload(hits, corpus, payload, id_col=id_col)
 
 
 def search_one(
@@ -200,14 +225,15 @@ def similarity_to(
     return corpus.select(id_col, score)
 
 
-def hits_with_article(hits: DataFrame, articles: DataFrame) -> DataFrame:
-    """Chunk hits with their article's title and text.
+def hits_with_article(hits: Hits, chunks: DataFrame, articles: DataFrame) -> DataFrame:
+    """Chunk hits with the title and text of the article they belong to.
 
-    An article can own many hits, never the reverse, so the join does not grow
-    the hits; Spark picks the small side from its run-time size.
+    An article can own many hits, never the reverse, so the joins do not grow
+    them, and each is a broadcast of the hits while their number allows it.
     """
+    owned = Hits(with_payload(hits, chunks, ("article_id",), id_col="chunk_id"), hits.bound)
     owner = articles.select(F.col("id").alias("article_id"), "title", "content")
-    return hits.join(owner, "article_id")
+    return owner.join(owned.to_join().withColumnRenamed("id", "chunk_id"), "article_id")
 
 
 def search_titles(articles: DataFrame, term: str) -> DataFrame:

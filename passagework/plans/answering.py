@@ -25,7 +25,7 @@ def _text(kind: dict) -> str:
 
 def embedded_queries(queries: DataFrame, provider: Provider) -> DataFrame:
     """`queries` with the vector `q` of their `query` text."""
-    return embed(queries, "query", provider, vector_col="q", few_rows=True).drop("error")
+    return embed(queries, "query", provider, vector_col="q").drop("error")
 
 
 def naive_prompts(

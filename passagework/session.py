@@ -54,12 +54,13 @@ def write_and_read(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition before CPU-heavy row work when the input has fewer files than cores.
+def spread(scan: DataFrame, *keys: str) -> DataFrame:
+    """Repartition a plain file scan that has fewer partitions than the cluster has cores.
 
-    A scan of many files is left as it is, so nothing is shuffled at scale.
+    For CPU-heavy row work on few or unsplittable files. A scan with enough
+    partitions is returned as it is, so nothing is shuffled at scale.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    return df.repartition(cores * 2, *keys) if keys else df.repartition(cores * 2)
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, *keys)

@@ -63,7 +63,9 @@ def new_urls(spark, sf):
 
 @query(f"WITH {sql.PAGE_TEXT} SELECT page_id, url, content, NULL::VARCHAR AS error FROM page_text")
 def extract_pages(spark, sf):
-    return extract.extract_pages(views.table(spark, sf, "pages"), root_id=None, root_tag="article")
+    return extract.extract_pages(
+        views.heavy(spark, sf, "pages", "page_id"), root_id=None, root_tag="article"
+    )
 
 
 @query(
@@ -157,7 +159,7 @@ def append_articles(spark, sf):
 )
 def serial_ids(spark, sf):
     pages = extract.extract_pages(
-        views.table(spark, sf, "pages"), root_id=None, root_tag="article"
+        views.heavy(spark, sf, "pages", "page_id"), root_id=None, root_tag="article"
     ).select("url", "content")
     numbered = ingest.with_serial(pages, "url", 1000)
     bucket = F.conv(F.substring(F.md5("url"), 1, 3), 16, 10).cast("int")
@@ -185,14 +187,15 @@ def pending_titles(spark, sf):
     return embed.pending_titles(views.articles(spark, sf))
 
 
-@query(
-    f"""WITH {sql.ARTICLES}, pending AS (SELECT id, title AS text FROM articles WHERE title_vector IS NULL),
+FILLED_SQL = f"""WITH {sql.ARTICLES}, pending AS (SELECT id, title AS text FROM articles WHERE title_vector IS NULL),
     {sql.hashed('pending')}
     SELECT a.id, a.title, a.title_vector IS NULL AS was_pending,
            array_to_string(list_transform(coalesce(h.v, a.title_vector),
              lambda x: round(x::DOUBLE * 1000000)::BIGINT), ',') AS vector
     FROM articles a LEFT JOIN hashed h USING (id)"""
-)
+
+
+@query(FILLED_SQL)
 def attach_title_vectors(spark, sf):
     articles = views.articles(spark, sf)
     provider = views.provider(fixed.TITLE_EMBED_BATCH)
@@ -208,6 +211,14 @@ def millionths(vector: str):
     return F.array_join(scaled, ",")
 
 
+@query(FILLED_SQL)
+def fill_title_vectors(spark, sf):
+    """The same result as `attach_title_vectors`, in one pass without the join."""
+    marked = views.articles(spark, sf).withColumn("was_pending", F.col("title_vector").isNull())
+    done = embed.fill_title_vectors(marked, views.provider(fixed.TITLE_EMBED_BATCH))
+    return done.select("id", "title", "was_pending", millionths("title_vector").alias("vector"))
+
+
 @query(
     f"""WITH {sql.ARTICLES}
     SELECT count_if(id IS NULL)::BIGINT AS null_ids, count(id) - count(DISTINCT id) AS duplicate_ids,

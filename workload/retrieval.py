@@ -78,7 +78,7 @@ KNN_SQL = f"""WITH {ASKED_HASHED}, {sql.ranked('embeddings', 'vec_id', 'embeddin
 
 
 def _knn(spark, sf, **limits):
-    hits, _ = retrieve.nearest(
+    hits = retrieve.nearest(
         views.table(spark, sf, "embeddings"),
         _asked(spark, sf),
         10,
@@ -86,7 +86,7 @@ def _knn(spark, sf, **limits):
         vector_col="embedding",
         **limits,
     )
-    return hits.withColumn("similarity", F.round("similarity", 6))
+    return hits.rows.withColumn("similarity", F.round("similarity", 6))
 
 
 @query(KNN_SQL)
@@ -97,7 +97,7 @@ def knn_batch(spark, sf):
 @query(KNN_SQL)
 def knn_block_pairs(spark, sf):
     """The form for query sets too large to send: same rows."""
-    return _knn(spark, sf, max_sent_queries=8)
+    return _knn(spark, sf, max_sent_queries=8, query_block_rows=16)
 
 
 @query(
@@ -107,18 +107,16 @@ def knn_block_pairs(spark, sf):
     FROM hits h JOIN chunks c ON c.chunk_id = h.id JOIN articles a ON a.id = c.article_id"""
 )
 def hits_with_article(spark, sf):
-    hits = retrieve.search(
-        views.chunks(spark, sf),
+    chunks = views.chunks(spark, sf)
+    hits = retrieve.nearest(
+        chunks,
         _asked(spark, sf),
         fixed.TOP_K_CHUNKS,
         id_col="chunk_id",
         vector_col="content_chunk_vector",
-        payload=("article_id",),
-    )
-    found = retrieve.hits_with_article(hits, views.documents(spark, sf))
-    return found.select(
-        "qid", "rank", F.col("id").alias("chunk_id"), "article_id", "title", "content"
     )
+    found = retrieve.hits_with_article(hits, chunks, views.documents(spark, sf))
+    return found.select("qid", "rank", "chunk_id", "article_id", "title", "content")
 
 
 CHUNK_HITS = f"""{ASKED_HASHED}, {sql.CHUNKS},

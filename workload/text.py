@@ -21,7 +21,7 @@ CUT_COLUMNS = "id AS article_id, chunk_no, content_chunk, n_tokens"
     SELECT id, generate_subscripts(ws, 1) - 1 AS word_no, unnest(ws) AS word FROM w"""
 )
 def word_tokens(spark, sf):
-    docs = views.documents(spark, sf)
+    docs = views.documents(spark, sf, heavy_work=True)
     return docs.select(
         "id", F.posexplode(text.words(F.col("content"))).alias("word_no", "word")
     ).withColumn("word_no", F.col("word_no").cast("bigint"))
@@ -33,7 +33,7 @@ def word_tokens(spark, sf):
 )
 def token_counts(spark, sf):
     content = F.col("content")
-    return views.documents(spark, sf).select(
+    return views.documents(spark, sf, heavy_work=True).select(
         "id",
         F.size(text.words(content)).cast("bigint").alias("n_words"),
         text.text_tokens(content).alias("n_tokens"),
@@ -42,14 +42,14 @@ def token_counts(spark, sf):
 
 @query(f"WITH RECURSIVE {DOCS}, {sql.chunked('docs', SMALL_BUDGET)} SELECT {CUT_COLUMNS} FROM cut")
 def chunk_documents(spark, sf):
-    return chunk.chunk_documents(views.documents(spark, sf), budget=SMALL_BUDGET)
+    return chunk.chunk_documents(views.documents(spark, sf, heavy_work=True), budget=SMALL_BUDGET)
 
 
 @query(
     f"WITH RECURSIVE {DOCS}, {sql.chunked('docs', fixed.CHUNK_TOKENS)} SELECT {CUT_COLUMNS} FROM cut"
 )
 def chunk_documents_full_budget(spark, sf):
-    return chunk.chunk_documents(views.documents(spark, sf))
+    return chunk.chunk_documents(views.documents(spark, sf, heavy_work=True))
 
 
 @query(
@@ -71,7 +71,7 @@ def chunk_stats(spark, sf):
 )
 def rechunk_oversize(spark, sf):
     """Whole documents as chunks, those above the limit cut again at half of it."""
-    whole = views.documents(spark, sf).select(
+    whole = views.documents(spark, sf, heavy_work=True).select(
         F.col("id").alias("article_id"),
         F.col("content").alias("content_chunk"),
         text.text_tokens(F.col("content")).alias("n_tokens"),
@@ -82,7 +82,7 @@ def rechunk_oversize(spark, sf):
 @query(f"WITH RECURSIVE {DOCS}, {sql.chunked('docs', SMALL_BUDGET)} SELECT {CUT_COLUMNS} FROM cut")
 def udtf_chunk_text(spark, sf):
     chunk.register_chunk_text(spark)
-    views.documents(spark, sf).createOrReplaceTempView("chunk_source")
+    views.documents(spark, sf, heavy_work=True).createOrReplaceTempView("chunk_source")
     return spark.sql(
         f"""SELECT d.id AS article_id, c.chunk_no, c.content_chunk, c.n_tokens
         FROM chunk_source d, LATERAL chunk_text(d.content, {SMALL_BUDGET}) c"""
@@ -95,7 +95,7 @@ def udtf_chunk_text(spark, sf):
            NULL::VARCHAR AS error FROM hashed"""
 )
 def embed_documents(spark, sf):
-    done = embed.embed(views.documents(spark, sf), "content", views.provider())
+    done = embed.embed(views.documents(spark, sf, heavy_work=True), "content", views.provider())
     return done.select("id", millionths("vector").alias("vector"), "error")
 
 
@@ -110,7 +110,7 @@ def embed_documents(spark, sf):
 )
 def chunk_and_embed(spark, sf):
     rows = embed.chunk_and_embed(
-        views.documents(spark, sf), views.provider(), budget=SMALL_BUDGET
+        views.documents(spark, sf, heavy_work=True), views.provider(), budget=SMALL_BUDGET
     )
     return rows.withColumn("vector", millionths("content_chunk_vector")).drop(
         "content_chunk_vector"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from passagework import fixed
 from passagework.functions.embedding import HashingProvider
+from passagework.session import spread
 
 DIM = 64
 CHUNKS_PER_ARTICLE = 5
@@ -20,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def heavy(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose rows are about to be worked on in Python."""
+    return spread(table(spark, sf_dir, name), key)
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One article per document; the title is its first line, its vector that of the same number."""
     vectors = table(spark, sf_dir, "embeddings").select(
@@ -38,9 +44,10 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def documents(spark: SparkSession, sf_dir: str, *, heavy_work: bool = False) -> DataFrame:
     """Articles without the vector: a plain scan."""
-    return table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents")
+    return (spread(docs, "doc_id") if heavy_work else docs).select(
         F.col("doc_id").alias("id"),
         F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         F.col("text").alias("content"),
@@ -135,7 +142,7 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id"),
         "</p></div></body></html>",
     )
-    return table(spark, sf_dir, "documents").select("doc_id", body.alias("html"))
+    return heavy(spark, sf_dir, "documents", "doc_id").select("doc_id", body.alias("html"))
 
 
 def part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,7 +162,7 @@ def part_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey"),
         "</td></tr></table></div>",
     )
-    return table(spark, sf_dir, "part").select("p_partkey", body.alias("html"))
+    return heavy(spark, sf_dir, "part", "p_partkey").select("p_partkey", body.alias("html"))
 
 
 def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +178,7 @@ def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_acctbal").cast("decimal(15,2)"),
         "</li></ul></div>",
     )
-    return table(spark, sf_dir, "customer").select("c_custkey", body.alias("html"))
+    return heavy(spark, sf_dir, "customer", "c_custkey").select("c_custkey", body.alias("html"))
 
 
 def customer_wikitext(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,4 +195,4 @@ def customer_wikitext(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_acctbal").cast("decimal(15,2)"),
         "\n=== Empty ===\n{{notelist}}\n",
     )
-    return table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw"))
+    return heavy(spark, sf_dir, "customer", "c_custkey").select("c_custkey", raw.alias("raw"))
