@@ -40,7 +40,7 @@ TOP_K_CHUNKS = 5
 TOP_K_ARTICLES = 5
 TOP_K_ARTICLES_TOOL = 3
 MAX_TOOL_ROUNDS = 5
-HIT_FORMAT = "Related content %d (similarity: %.2f):\n%s"
+HIT_HEADER = "Related content %d (similarity: %.2f):\n"
 PROMPT_OPENING = "Here is some relevant context that might help answer the query:"
 PROMPT_REQUEST = "Based on the above context and your knowledge, please answer this query:"
 ROUND_LIMIT_MESSAGE = (

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WORD_SEPARATORS = r"[^\p{L}\p{N}_]+"
+WORD_LETTER = r"[\p{L}\p{N}_]"
 
 
 def strip(text: Column) -> Column:
@@ -41,32 +42,41 @@ def text_tokens(text: Column) -> Column:
     )
 
 
-def search_tokens(text: Column) -> Column:
-    """Distinct lower-case words of a text."""
-    parts = F.split(F.lower(text), WORD_SEPARATORS, -1)
-    return F.array_distinct(F.filter(parts, lambda t: t != ""))
-
-
 def term_words(term: str) -> list[str]:
     """Distinct lower-case words of a literal search term."""
     return sorted({w for w in re.split(r"[^\w]+", term.lower()) if w})
 
 
-def text_match(text: Column, term: str) -> Column:
-    """True when every word of `term` is a word of `text`; an empty term matches nothing.
+def has_word(text: Column, word: str) -> Column:
+    """True when the lower-case `word` is a word of `text`.
 
-    The substring tests run first and are cheap, so only rows that hold every
-    word somewhere pay for splitting.
+    The substring test comes first and is cheap. The pattern starts with the
+    literal and looks at its neighbours afterwards, so the regex engine skips
+    to candidates instead of testing every position.
     """
+    lowered = F.lower(text)
+    literal = re.escape(word)
+    exact = f"{literal}(?<!{WORD_LETTER}{literal})(?!{WORD_LETTER})"
+    return F.contains(lowered, F.lit(word)) & F.rlike(lowered, F.lit(exact))
+
+
+def text_match(text: Column, term: str) -> Column:
+    """True when every word of `term` is a word of `text`; an empty term matches nothing."""
     wanted = term_words(term)
     if not wanted:
         return text.isNull() & F.lit(False)
-    lowered = F.lower(text)
-    test = F.lit(True)
-    for word in wanted:
-        test = test & F.contains(lowered, F.lit(word))
-    missing = F.array_except(F.array(*[F.lit(w) for w in wanted]), search_tokens(text))
-    return test & (F.size(missing) == 0)
+    return reduce(lambda a, b: a & b, [has_word(text, word) for word in wanted])
+
+
+def text_match_any(texts: list[Column], term: str) -> Column:
+    """True when every word of `term` is a word of one of the `texts`."""
+    wanted = term_words(term)
+
+    def somewhere(word: str) -> Column:
+        found = [F.coalesce(has_word(text, word), F.lit(False)) for text in texts]
+        return reduce(lambda a, b: a | b, found)
+
+    return reduce(lambda a, b: a & b, map(somewhere, wanted)) if wanted else F.lit(False)
 
 
 # fixed values: bracket classes and word-boundary escapes whose spelling differs in Java regex

@@ -18,7 +18,7 @@ ARROW_CHUNKS = pa.list_(
 
 
 def chunker(budget: int, count: chunking.TokenCounter = chunking.estimate_counts):
-    """A UDF: text to the array of its chunks."""
+    """A UDF: text to the array of its chunks (non-deterministic: never run twice)."""
 
     def cut(text):
         if text is None:
@@ -33,7 +33,7 @@ def chunker(budget: int, count: chunking.TokenCounter = chunking.estimate_counts
         for batch in batches:
             yield pa.array([cut(text) for text in batch.to_pylist()], type=ARROW_CHUNKS)
 
-    return cut_batches
+    return cut_batches.asNondeterministic()
 
 
 def chunk_documents(
@@ -46,7 +46,8 @@ def chunk_documents(
 ) -> DataFrame:
     """`(article_id, chunk_no, content_chunk, n_tokens)`; the first two columns are the key."""
     source = articles.select(F.col(id_col).alias("article_id"), text_col)
-    return source.select("article_id", F.inline(chunker(budget, count)(F.col(text_col))))
+    cut = source.select("article_id", chunker(budget, count)(F.col(text_col)).alias("_chunks"))
+    return cut.select("article_id", F.inline("_chunks"))
 
 
 def rechunk_oversize(
@@ -68,8 +69,9 @@ def rechunk_oversize(
             F.lit(0).alias("chunk_no"), F.col("content_chunk"), F.col("n_tokens").cast("bigint")
         )
     ).cast(CHUNK_TYPE)
-    pieces = F.coalesce(chunker(budget, count)(text), whole)
-    return chunks.select(*keep, F.inline(pieces).alias("part_no", "content_chunk", "n_tokens"))
+    cut = chunks.withColumn("_again", chunker(budget, count)(text))
+    pieces = F.inline(F.coalesce("_again", whole)).alias("part_no", "content_chunk", "n_tokens")
+    return cut.select(*keep, pieces)
 
 
 def chunk_stats(chunks: DataFrame) -> DataFrame:

@@ -11,10 +11,15 @@ from passagework.schemas import TOOL_INPUT
 
 
 def context_blocks(hits: DataFrame, text_col: str, key: str = "qid") -> DataFrame:
-    """One numbered text block per query. A query has at most its k hits."""
-    line = F.format_string(fixed.HIT_FORMAT, F.col("rank"), F.col("similarity"), F.col(text_col))
+    """One numbered text block per query. A query has at most its k hits.
+
+    Hits are shuffled by query before grouping: collecting texts in the map
+    tasks would save nothing and hold them in memory twice.
+    """
+    header = F.format_string(fixed.HIT_HEADER, F.col("rank"), F.col("similarity"))
+    line = F.concat(header, F.col(text_col))
     lines = F.sort_array(F.collect_list(F.struct(F.col("rank"), line.alias("line"))))
-    return hits.groupBy(key).agg(
+    return hits.repartition(key).groupBy(key).agg(
         F.array_join(F.transform(lines, lambda x: x["line"]), "\n\n").alias("context")
     )
 

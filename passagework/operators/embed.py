@@ -38,7 +38,10 @@ def _ask(provider: Provider, texts: list[str]) -> list[dict]:
 
 
 def embedder(provider: Provider):
-    """A UDF: text to vector or error. Requests hold up to `provider.batch_size` texts."""
+    """A UDF: text to vector or error. Requests hold up to `provider.batch_size` texts.
+
+    Marked non-deterministic so that no request is made twice.
+    """
 
     @F.arrow_udf(RESULT_TYPE)
     def embed_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -52,7 +55,7 @@ def embedder(provider: Provider):
                     out[place] = result
             yield pa.array(out, type=ARROW_RESULT)
 
-    return embed_batches
+    return embed_batches.asNondeterministic()
 
 
 def embed(
@@ -116,13 +119,12 @@ def chunk_and_embed(
                 rows += [settle(*row) for row in zip(texts[span], tokens[span], results)]
             yield pa.array(rows, type=arrow)
 
-    return cut.select(
-        "article_id",
-        "chunk_no",
-        F.inline(embed_chunks("content_chunk", "n_tokens")).alias(
-            "part_no", "content_chunk", "n_tokens", "content_chunk_vector", "error"
-        ),
+    embed_once = embed_chunks.asNondeterministic()
+    done = cut.select(
+        "article_id", "chunk_no", embed_once("content_chunk", "n_tokens").alias("_parts")
     )
+    names = ("part_no", "content_chunk", "n_tokens", "content_chunk_vector", "error")
+    return done.select("article_id", "chunk_no", F.inline("_parts").alias(*names))
 
 
 def pending_titles(articles: DataFrame) -> DataFrame:

@@ -54,7 +54,11 @@ ARROW_PARTS = {
 
 
 def _reader(parts: tuple[str, ...], root_id: str | None, root_tag: str | None):
-    """A UDF that returns only the asked-for parts, plus the row's own error."""
+    """A UDF that returns only the asked-for parts, plus the row's own error.
+
+    Like the other costly UDFs here it is marked non-deterministic, or the
+    optimizer would copy it into the filters it derives and run it twice.
+    """
 
     def read(page: str | None) -> dict:
         if page is None:
@@ -82,7 +86,7 @@ def _reader(parts: tuple[str, ...], root_id: str | None, root_tag: str | None):
         for batch in batches:
             yield pa.array([read(page) for page in batch.to_pylist()], type=arrow)
 
-    return reader
+    return reader.asNondeterministic()
 
 
 def read_parts(
@@ -144,7 +148,7 @@ def _wikitext_cleaner():
         for batch in batches:
             yield pa.array([clean(raw) for raw in batch.to_pylist()], type=pa.string())
 
-    return cleaner
+    return cleaner.asNondeterministic()
 
 
 def clean_wikitext(df: DataFrame, raw_col: str, out: str = "content") -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from passagework.functions.text import text_match
+from passagework.functions.text import text_match, text_match_any
 from passagework.functions.vectors import LocalTopK, inner_product, matrix
 from passagework.session import write_and_read
 
@@ -243,8 +243,8 @@ def search_titles(articles: DataFrame, term: str) -> DataFrame:
 
 def search_articles(articles: DataFrame, term: str) -> DataFrame:
     """Articles whose title and text together hold every word of `term`."""
-    both = F.concat_ws(" ", "title", "content")
-    return articles.where(text_match(both, term)).select("id", "title", "content")
+    match = text_match_any([F.col("title"), F.col("content")], term)
+    return articles.where(match).select("id", "title", "content")
 
 
 def batched_bindings(

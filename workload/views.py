@@ -36,7 +36,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(vectors, "doc_id", "left")
         .select(
             F.col("doc_id").alias("id"),
-            F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+            F.substring_index("text", "\n", 1).alias("title"),
             F.col("text").alias("content"),
             F.concat(F.lit("https://example.org/wiki/"), "source", F.lit("/"), "doc_id").alias("url"),
             "title_vector",
@@ -49,7 +49,7 @@ def documents(spark: SparkSession, sf_dir: str, *, heavy_work: bool = False) ->
     docs = table(spark, sf_dir, "documents")
     return (spread(docs, "doc_id") if heavy_work else docs).select(
         F.col("doc_id").alias("id"),
-        F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("content"),
         F.concat(F.lit("https://example.org/wiki/"), "source", F.lit("/"), "doc_id").alias("url"),
     )
