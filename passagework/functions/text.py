@@ -111,7 +111,7 @@ def java_regex(pattern: str) -> str:
 
 def like_pattern(pattern: str) -> str:
     """Drop backslashes that escape an ordinary character, which `like` would reject."""
-    return re.sub(r"\\([^%_\\])", r"\1", pattern)
+    return re.sub(r"\\([^%_])", lambda m: m.group(0) if m.group(1) == "\\" else m.group(1), pattern)
 
 
 def similar_regex(pattern: str) -> str:

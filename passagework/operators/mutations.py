@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passagework.operators.predicates import predicate
+from passagework.sources.sinks import conform
 
 
 class Mutation(NamedTuple):
@@ -38,14 +39,8 @@ def _require(rows: DataFrame, check: Mapping | None) -> None:
 
 def insert(table: DataFrame, objects: DataFrame, post_check: Mapping | None = None) -> Mutation:
     """Add all objects, or none when one breaks `post_check`."""
-    _require(objects, post_check)
-    columns = {f.name: f.dataType for f in table.schema}
-    aligned = objects.select(
-        *[
-            (F.col(c) if c in objects.columns else F.lit(None)).cast(kind).alias(c)
-            for c, kind in columns.items()
-        ]
-    )
+    aligned = conform(objects, table.schema)
+    _require(aligned, post_check)
     return Mutation(table.unionByName(aligned), aligned.count(), aligned)
 
 

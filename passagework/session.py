@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,17 +28,36 @@ def build_session(app: str = "passagework", master: str | None = None, **conf: s
     return builder.getOrCreate()
 
 
+@cache
+def _package_zip() -> str:
+    root = Path(__file__).resolve().parent
+    base = Path(tempfile.mkdtemp(prefix="passagework-")) / root.name
+    return shutil.make_archive(str(base), "zip", root.parent, root.name)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, unless the session's applications already carry it.
+
+    Same as starting with `--py-files`; a second call for a session does nothing.
+    """
+    archive = _package_zip()
+    if not any(str(f).endswith(Path(archive).name) for f in spark.sparkContext.listFiles):
+        spark.sparkContext.addPyFile(archive)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder: `spark.checkpoint.dir`.
 
     A temporary folder is made only when the setting is absent, which is the
-    single-machine test case, and it is kept for the rest of the session.
+    single-machine test case, and it is kept for the rest of the process.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="passagework-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    return path.rstrip("/") if path else _own_dir()
+
+
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="passagework-")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
