@@ -9,7 +9,7 @@ from passagework import fixed
 from passagework.functions.embedding import Provider
 from passagework.operators import context
 from passagework.operators.embed import embed
-from passagework.operators.retrieve import search
+from passagework.operators.retrieve import search, search_one
 
 CHUNKS = {
     "id_col": "chunk_id",
@@ -23,6 +23,31 @@ def _text(kind: dict) -> str:
     return kind["payload"][-1]
 
 
+def _search_text(corpus, text: str, provider: Provider, k: int, kind: dict) -> DataFrame:
+    (vector,) = provider.embed([text])
+    return search_one(corpus, vector, k, **kind)
+
+
+def similar_chunks(
+    chunks: DataFrame, query: str, provider: Provider, top_k: int | None = None
+) -> DataFrame:
+    """The endpoint `(articleId, chunkContent, similarity)` of one query, best first."""
+    k = fixed.TOP_K_CHUNKS if top_k is None else top_k
+    return _search_text(chunks, query, provider, k, CHUNKS).select(
+        F.col("article_id").alias("articleId"),
+        F.col("content_chunk").alias("chunkContent"),
+        "similarity",
+    )
+
+
+def similar_articles(
+    articles: DataFrame, query: str, provider: Provider, top_k: int | None = None
+) -> DataFrame:
+    """The endpoint `(id, title, content, similarity)` of one query, best first."""
+    k = fixed.TOP_K_ARTICLES_TOOL if top_k is None else top_k
+    return _search_text(articles, query, provider, k, ARTICLES)
+
+
 def embedded_queries(queries: DataFrame, provider: Provider) -> DataFrame:
     """`queries` with the vector `q` of their `query` text."""
     return embed(queries, "query", provider, vector_col="q").drop("error")

@@ -73,6 +73,26 @@ def topk_articles(spark, sf):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+@query(
+    f"""WITH {ONE_HASHED}, {sql.CHUNKS}, {sql.ranked('chunks', 'chunk_id', 'content_chunk_vector', str(fixed.TOP_K_CHUNKS))}
+    SELECT c.article_id AS "articleId", c.content_chunk AS "chunkContent", round(h.similarity, 6) AS similarity
+    FROM hits h JOIN chunks c ON c.chunk_id = h.id"""
+)
+def similar_chunks(spark, sf):
+    found = answering.similar_chunks(views.chunks(spark, sf), SEARCH_TEXT, views.provider())
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    f"""WITH {ONE_HASHED}, {sql.ARTICLES}, {sql.ranked('articles', 'id', 'title_vector', str(fixed.TOP_K_ARTICLES_TOOL))}
+    SELECT h.id, a.title, a.content, round(h.similarity, 6) AS similarity
+    FROM hits h JOIN articles a ON a.id = h.id"""
+)
+def similar_articles(spark, sf):
+    found = answering.similar_articles(views.articles(spark, sf), SEARCH_TEXT, views.provider())
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 KNN_SQL = f"""WITH {ASKED_HASHED}, {sql.ranked('embeddings', 'vec_id', 'embedding', '10')}
     SELECT qid, id, round(similarity, 6) AS similarity, rank FROM hits"""
 
