@@ -66,7 +66,9 @@ class LocalTopK:
     def _add_block(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         # + 0.0 turns a negative zero into zero
         scores = np.round(self.queries @ vectors.T, SCORE_DIGITS) + 0.0
-        k_max = int(self.k.max())
+        k_max = int(self.k.max(initial=0))
+        if k_max < 1:
+            return
         floor = self.floor
         if scores.shape[1] > k_max:
             kth = np.partition(scores, scores.shape[1] - k_max, axis=1)[:, -k_max]

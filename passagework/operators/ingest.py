@@ -32,14 +32,20 @@ def normalized_links(links: DataFrame) -> DataFrame:
     return links.withColumn("url", normalize_url(F.col("link"))).where(F.col("url").isNotNull())
 
 
-def first_per_url(links: DataFrame, row_col: str = "q_id") -> DataFrame:
+def first_per_url(
+    links: DataFrame, row_col: str = "q_id", most_slots: int = fixed.LINK_COLUMN_COUNT
+) -> DataFrame:
     """The first occurrence of every URL in row and slot order.
 
     A grouped minimum, combined before the shuffle, so a URL that fills a
-    third of the rows still sends one row per task.
+    third of the rows still sends one row per task. Row and slot are packed
+    into one whole number, which keeps the aggregation hash-based.
     """
-    first = F.min(F.struct(row_col, "slot")).alias("_first")
-    return links.groupBy("url").agg(first).select("url", f"_first.{row_col}", "_first.slot")
+    stride = F.lit(most_slots + 1)
+    place = F.col(row_col).cast("bigint") * stride + F.col("slot")
+    first = links.groupBy("url").agg(F.min(place).alias("_place"))
+    row = F.expr(f"_place div {most_slots + 1}").alias(row_col)
+    return first.select("url", row, (F.col("_place") % stride).cast("int").alias("slot"))
 
 
 def new_urls(links: DataFrame, existing: DataFrame, row_col: str = "q_id") -> DataFrame:

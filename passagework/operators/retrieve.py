@@ -58,6 +58,12 @@ def _hits(best: LocalTopK, qids: pa.Array) -> dict:
     }
 
 
+def _vectors_of(corpus: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    return corpus.where(F.col(vector_col).isNotNull()).select(
+        F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")
+    )
+
+
 def _scan_with_sent_queries(corpus: DataFrame, sent: pa.Table, dim: int, schema: str) -> DataFrame:
     """Each task scores its own rows against all queries and returns its best only."""
 
@@ -147,9 +153,7 @@ def nearest(
     only their own best rows, so at most tasks x queries x k narrow rows are
     shuffled; texts are joined to the final hits, see `search`.
     """
-    corpus = corpus.where(F.col(vector_col).isNotNull()).select(
-        F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v")
-    )
+    corpus = _vectors_of(corpus, id_col, vector_col)
     k = F.lit(k) if isinstance(k, int) else k
     queries = (
         queries.where(F.col(query_vector).isNotNull())
@@ -209,11 +213,20 @@ def search_one(
     vector_col: str,
     payload: Sequence[str],
 ) -> DataFrame:
-    """Top-k of a single query vector, best first."""
-    spark = corpus.sparkSession
-    query = spark.createDataFrame([(0, [float(x) for x in vector])], "qid int, q array<double>")
-    found = search(corpus, query, k, id_col=id_col, vector_col=vector_col, payload=payload)
-    return found.orderBy("rank").drop("qid", "rank")
+    """Top-k of a single query vector, best first: `(id, *payload, similarity)`.
+
+    One query needs no grouping: every task's best rows meet in one ordered
+    limit, which keeps `k` rows in memory however many tasks there are.
+    """
+    sent = pa.table({"qid": pa.array([0]), "v": [list(map(float, vector))], "k": pa.array([k])})
+    best_first = [F.desc("similarity"), F.asc("id")]
+    found = _scan_with_sent_queries(
+        _vectors_of(corpus, id_col, vector_col), sent, len(vector), _HIT.format(qid="bigint")
+    )
+    hits = found.orderBy(*best_first).limit(k).select("id", "similarity")
+    texts = corpus.select(F.col(id_col).alias("id"), *payload)
+    hits = F.broadcast(hits) if k <= MAX_BROADCAST_HITS else hits
+    return texts.join(hits, "id").select("id", *payload, "similarity").orderBy(*best_first)
 
 
 def similarity_to(

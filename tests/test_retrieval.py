@@ -71,6 +71,14 @@ def test_no_queries_and_fewer_rows_than_k(spark):
     assert {(r.qid, r.id, r["rank"]) for r in hits} == brute_force(corpus, queries, lambda _: 50)
 
 
+def test_one_query_best_first(spark):
+    corpus, queries, c, _ = make(spark, n=90)
+    for k in (0, 1, 7, 200):
+        found = retrieve.search_one(c, queries[0][1], k, id_col="id", vector_col="v", payload=("v",))
+        wanted = sorted((rank, i) for _, i, rank in brute_force(corpus, queries[:1], lambda _: k))
+        assert [r.id for r in found.collect()] == [i for _, i in wanted]
+
+
 def test_text_query_ids(spark):
     corpus, queries, c, q = make(spark, n=50, n_queries=9)
     q = q.withColumn("qid", F.concat(F.lit("q"), "qid"))
