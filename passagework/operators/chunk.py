@@ -93,5 +93,5 @@ class ChunkText:
 
 def register_chunk_text(spark: SparkSession, name: str = "chunk_text") -> None:
     """Make `chunk_text(text, budget)` callable in SQL, e.g. after `LATERAL`."""
-    function = F.udtf(ChunkText, returnType="chunk_no:int,content_chunk:string,n_tokens:bigint")
-    spark.udtf.register(name, function)
+    returns = "chunk_no:int,content_chunk:string,n_tokens:bigint"
+    spark.udtf.register(name, F.udtf(ChunkText, returnType=returns, useArrow=True))

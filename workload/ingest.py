@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from passagework import fixed
 from passagework.functions.urls import normalize_url, title_from_url
 from passagework.operators import constraints, embed, extract, ingest
+from passagework.plans import loading
 from passagework.session import new_path
 from passagework.sources import readers, sinks
 from passagework.streaming import incremental
@@ -279,3 +280,30 @@ def incremental_ingest(spark, sf):
     )
     stored = incremental.stored(spark, target, "articles").join(tokens, "page_id", "left")
     return stored.select("page_id", "url", "title", "content", "n_tokens")
+
+
+_FRESH = f"""{sql.LINKS}, {sql.PAGE_TEXT}, fresh AS (
+      SELECT DISTINCT CASE WHEN regexp_matches(link, '^https?://') THEN link
+                           ELSE 'https://' || link END AS url FROM links),
+    loaded AS (SELECT f.url, {sql.title_of('f.url')} AS title, p.content
+      FROM fresh f LEFT JOIN page_text p USING (url)
+      WHERE f.url NOT IN (SELECT url FROM pages WHERE url LIKE 'http://%'))"""
+
+
+@query(
+    f"""WITH {_FRESH}
+    SELECT url, title, content,
+           (SELECT max(page_id) FROM pages WHERE url LIKE 'http://%')
+             + row_number() OVER (ORDER BY ('0x' || substr(md5(url), 1, 3))::INT, url) AS id
+    FROM loaded WHERE content IS NOT NULL"""
+)
+def load_articles(spark, sf):
+    """Questions to stored articles, where the pages with plain http are stored already."""
+    pages = views.heavy(spark, sf, "pages", "page_id")
+    existing = pages.where(F.col("url").startswith("http://")).select(
+        F.col("page_id").alias("id"), "url"
+    )
+    path = new_path(spark, "articles")
+    wide = views.questions_wide(spark, sf)
+    loading.load_articles(wide, pages, existing, path, root_id=None, root_tag="article")
+    return readers.read_articles(spark, path).select("url", "title", "content", "id")
