@@ -45,20 +45,28 @@ class LocalTopK:
     """Best `k[q]` rows per query over the row blocks one task sees.
 
     Holds at most `k` candidates per query between blocks, and compares blocks
-    of limited size, so memory does not grow with the rows read.
+    of limited size, so memory does not grow with the rows read. Many copies
+    of one vector stay cheap: of equal scores only those that can still win
+    by their id are kept.
     """
 
     MAX_CELLS = 4_000_000
+    NO_ID = np.iinfo(np.int64).max
 
     def __init__(self, queries: np.ndarray, k: np.ndarray):
         self.queries = queries
         self.k = k
+        self.k_max = int(k.max(initial=0))
+        # a full query's last kept row: what a newcomer has to beat
         self.floor = np.full(len(queries), -np.inf)
+        self.floor_id = np.full(len(queries), self.NO_ID)
         self.q = np.empty(0, np.int64)
         self.ids = np.empty(0, np.int64)
         self.scores = np.empty(0)
 
     def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        if self.k_max < 1:
+            return
         step = max(1, self.MAX_CELLS // max(1, len(self.queries)))
         for start in range(0, len(ids), step):
             self._add_block(ids[start : start + step], vectors[start : start + step])
@@ -66,19 +74,29 @@ class LocalTopK:
     def _add_block(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         # + 0.0 turns a negative zero into zero
         scores = np.round(self.queries @ vectors.T, SCORE_DIGITS) + 0.0
-        k_max = int(self.k.max(initial=0))
-        if k_max < 1:
-            return
-        floor = self.floor
-        if scores.shape[1] > k_max:
-            kth = np.partition(scores, scores.shape[1] - k_max, axis=1)[:, -k_max]
+        floor, floor_id = self.floor, self.floor_id
+        if scores.shape[1] > self.k_max:
+            kth = np.partition(scores, scores.shape[1] - self.k_max, axis=1)[:, -self.k_max]
+            floor_id = np.where(kth > floor, self.NO_ID, floor_id)
             floor = np.maximum(floor, kth)
-        q, col = np.nonzero(scores >= floor[:, None])
+        better = scores > floor[:, None]
+        even = (scores == floor[:, None]) & (ids[None, :] <= floor_id[:, None])
+        if np.count_nonzero(even) > 4 * self.k_max * len(self.queries):
+            even = self._smallest_ids(even, ids)
+        q, col = np.nonzero(better | even)
         self.q = np.concatenate([self.q, q])
         self.ids = np.concatenate([self.ids, ids[col]])
         self.scores = np.concatenate([self.scores, scores[q, col]])
         self._trim()
 
+    def _smallest_ids(self, even: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Of the equal scores, the `k` rows with the smallest ids per query."""
+        order = np.argsort(ids, kind="stable")
+        sorted_even = even[:, order]
+        kept = np.zeros_like(even)
+        kept[:, order] = sorted_even & (np.cumsum(sorted_even, axis=1) <= self.k_max)
+        return kept
+
     def _trim(self) -> None:
         order = np.lexsort((self.ids, -self.scores, self.q))
         q = self.q[order]
@@ -86,8 +104,9 @@ class LocalTopK:
         place = np.arange(len(q)) - first
         keep = order[place < self.k[q]]
         self.q, self.ids, self.scores = self.q[keep], self.ids[keep], self.scores[keep]
-        # rows are sorted by query then falling score: a full query's floor is its last score
+        # kept rows are sorted by query, falling score and rising id
         counts = np.bincount(self.q, minlength=len(self.queries))
         last = np.cumsum(counts) - 1
         full = (counts >= self.k) & (counts > 0)
         self.floor[full] = self.scores[last[full]]
+        self.floor_id[full] = self.ids[last[full]]

@@ -96,15 +96,20 @@ def test_wrong_vector_length_fails(spark):
         retrieve.nearest(c, q, 1, id_col="id", vector_col="v").rows.collect()
 
 
-def test_local_top_k_in_small_blocks(monkeypatch):
-    monkeypatch.setattr(LocalTopK, "MAX_CELLS", 20)
+@pytest.mark.parametrize("cells", [20, 400, 10_000])
+@pytest.mark.parametrize("order", ["rising", "falling", "mixed"])
+def test_local_top_k_with_many_copies(monkeypatch, cells, order):
+    monkeypatch.setattr(LocalTopK, "MAX_CELLS", cells)
     rng = np.random.default_rng(0)
-    rows, queries = rng.integers(-3, 4, (97, 5)), rng.integers(-3, 4, (4, 5)).astype(float)
-    best = LocalTopK(queries, np.array([3, 1, 5, 200]))
-    for start in range(0, 97, 10):
-        best.add(np.arange(start, min(start + 10, 97)), rows[start : start + 10].astype(float))
-    for q, k in enumerate([3, 1, 5, 97]):
-        wanted = sorted((-s, i) for i, s in enumerate(rows @ queries[q]))[:k]
+    rows, queries = rng.integers(-3, 4, (397, 5)), rng.integers(-3, 4, (4, 5)).astype(float)
+    rows[rng.random(397) < 0.4] = 3 * np.sign(queries[0])  # the best row of the first query
+    ids = {"rising": np.arange(397), "falling": np.arange(397)[::-1], "mixed": rng.permutation(397)}[order]
+    best = LocalTopK(queries, np.array([3, 1, 5, 500]))
+    for start in range(0, 397, 50):
+        span = slice(start, start + 50)
+        best.add(ids[span], rows[span].astype(float))
+    for q, k in enumerate([3, 1, 5, 397]):
+        wanted = sorted((-s, i) for i, s in zip(ids, rows @ queries[q]))[:k]
         mine = [(-s, i) for s, i in zip(best.scores[best.q == q], best.ids[best.q == q])]
         assert mine == wanted
 

@@ -35,15 +35,18 @@ def unpivot_links(spark, sf):
 @query(
     f"""WITH {sql.LINKS} SELECT q_id, slot, link,
     CASE WHEN link = '' THEN NULL WHEN regexp_matches(link, '^https?://') THEN link
-         ELSE 'https://' || link END AS url FROM links"""
+         ELSE 'https://' || link END AS url FROM links""",
+    name="normalize_url",
 )
-def normalize_urls(spark, sf):
+def normalized_urls(spark, sf):
     links = ingest.unpivot_links(views.questions_wide(spark, sf))
     return links.withColumn("url", normalize_url(F.col("link")))
 
 
-@query(f"SELECT page_id, url, {sql.title_of('url')} AS title FROM pages")
-def title_from_urls(spark, sf):
+@query(
+    f"SELECT page_id, url, {sql.title_of('url')} AS title FROM pages", name="title_from_url"
+)
+def page_titles(spark, sf):
     pages = views.table(spark, sf, "pages")
     return pages.select("page_id", "url", title_from_url(F.col("url")).alias("title"))
 
@@ -215,7 +218,7 @@ def millionths(vector: str):
 @query(FILLED_SQL)
 def fill_title_vectors(spark, sf):
     """The same result as `attach_title_vectors`, in one pass without the join."""
-    marked = views.articles(spark, sf).withColumn("was_pending", F.col("title_vector").isNull())
+    marked = views.articles(spark, sf, heavy_work=True).withColumn("was_pending", F.col("title_vector").isNull())
     done = embed.fill_title_vectors(marked, views.provider(fixed.TITLE_EMBED_BATCH))
     return done.select("id", "title", "was_pending", millionths("title_vector").alias("vector"))
 

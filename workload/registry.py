@@ -12,14 +12,13 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None) -> Callable[[Query], Query]:
-    """Register a function under its own name; `None` where SQL cannot express it."""
+def query(sql: str, name: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its own or the given name."""
 
     def register(function: Query) -> Query:
-        name = function.__name__
-        QUERIES[name] = function
-        if sql is not None:
-            SQL[name] = sql
+        key = name or function.__name__
+        QUERIES[key] = function
+        SQL[key] = sql
         return function
 
     return register

@@ -226,7 +226,7 @@ def _transcript(flow, corpus, spark, sf):
     return flow(
         views.conversation_questions(spark, sf),
         views.tool_calls(spark, sf),
-        corpus(spark, sf),
+        corpus(spark, sf, heavy_work=True),
         views.provider(),
     )
 

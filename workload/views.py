@@ -45,13 +45,14 @@ def heavy(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     return spread(table(spark, sf_dir, name), key)
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+def articles(spark: SparkSession, sf_dir: str, *, heavy_work: bool = False) -> DataFrame:
     """One article per document; the title is its first line, its vector that of the same number."""
+    docs = table(spark, sf_dir, "documents")
     vectors = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("doc_id"), F.col("embedding").alias("title_vector")
     )
     return (
-        table(spark, sf_dir, "documents")
+        (spread(docs, "doc_id") if heavy_work else docs)
         .join(vectors, "doc_id", "left")
         .select(
             F.col("doc_id").alias("id"),
@@ -74,9 +75,10 @@ def documents(spark: SparkSession, sf_dir: str, *, heavy_work: bool = False) ->
     )
 
 
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunks(spark: SparkSession, sf_dir: str, *, heavy_work: bool = False) -> DataFrame:
     """Every vector is a chunk; five consecutive ones belong to one article."""
-    owner = table(spark, sf_dir, "documents").select(
+    docs = table(spark, sf_dir, "documents")
+    owner = (spread(docs, "doc_id") if heavy_work else docs).select(
         F.col("doc_id").alias("article_id"), F.col("text").alias("content_chunk")
     )
     return (
