@@ -55,6 +55,11 @@ def new_urls(links: DataFrame, existing: DataFrame, row_col: str = "q_id") -> Da
     )
 
 
+def first_pages(pages: DataFrame) -> DataFrame:
+    """The smallest `page_id` of every captured URL; reads no page bodies."""
+    return pages.where(F.col("url").isNotNull()).groupBy("url").agg(F.min("page_id").alias("page_id"))
+
+
 def outcome(title: Column, content: Column) -> Column:
     """'processed' rows can be stored; 'no content' and 'error' rows are rejects."""
     return (
@@ -84,8 +89,9 @@ def with_serial(df: DataFrame, key: str, start: int, out: str = "id") -> DataFra
     """Dense numbers from `start + 1`, the same on every run for the same unique keys.
 
     Rows are numbered inside 4096 hash buckets; a bucket's first number comes
-    from the bucket counts, a table of at most 4096 rows. No task ever holds
-    more than one bucket's rows, and unique keys spread evenly over buckets.
+    from the bucket counts, a table of at most 4096 rows. Unique keys spread
+    evenly over the buckets. Rows are shuffled and sorted, so number narrow
+    rows and join wide columns afterwards.
     """
     placed = df.withColumn("_bucket", _bucket(F.col(key)))
     counts = placed.groupBy("_bucket").agg(F.count("*").alias("_n"))
@@ -106,3 +112,19 @@ def with_serial(df: DataFrame, key: str, start: int, out: str = "id") -> DataFra
 def next_serial(df: DataFrame, id_col: str = "id") -> int:
     """Highest number in use, 0 for an empty table."""
     return df.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("n")).first()["n"]
+
+
+def with_chunk_ids(rows: DataFrame, start: int) -> DataFrame:
+    """Unique `chunk_id` above `start`, from `(article_id, chunk_no, part_no)`.
+
+    A formula over the largest chunk and part number, so wide chunk rows are
+    not shuffled to number them. Ids rise with the three columns; they have gaps.
+    """
+    most = rows.agg(
+        F.min("article_id").alias("low"),
+        (F.max("chunk_no") + 1).alias("chunks"),
+        (F.max("part_no") + 1).alias("parts"),
+    ).first()
+    article = F.col("article_id").cast("bigint") - F.lit(most["low"])
+    place = (article * F.lit(most["chunks"]) + F.col("chunk_no")) * F.lit(most["parts"])
+    return rows.withColumn("chunk_id", F.lit(start + 1) + place + F.col("part_no"))

@@ -18,17 +18,27 @@ def load_articles(
 ) -> DataFrame:
     """Store the articles behind all links not stored yet; returns rows per outcome.
 
-    `pages(url, html)` are the captured pages; a link without one counts as
-    having no content. Running it again over its own output adds nothing.
+    `pages(page_id, url, html)` are the captured pages, the smallest page_id
+    counting where a URL was captured more than once; a link without a page
+    has no content. Running it again over its own output adds nothing.
+
+    Choosing URLs, numbering them and picking their pages is done on narrow
+    tables; page bodies are read and moved once, for the chosen pages only.
     """
     links = ingest.normalized_links(ingest.unpivot_links(questions))
-    fresh = ingest.new_urls(links, existing).select("url")
-    captured = fresh.join(pages.select("url", "html"), "url", "left")
-    # stored once: summary, numbering and the append all read it
-    rows = write_and_read(ingest.article_rows(extract.extract_pages(captured, **root)), "extracted")
-    good = rows.where(F.col("status") == "processed")
-    numbered = ingest.with_serial(good, "url", ingest.next_serial(existing))
-    sinks.append_articles(numbered, path)
+    # stored, because numbering reads it twice
+    fresh = write_and_read(ingest.new_urls(links, existing).select("url"), "urls")
+    numbered = ingest.with_serial(fresh, "url", ingest.next_serial(existing))
+    wanted = write_and_read(numbered.join(ingest.first_pages(pages), "url", "left"), "wanted")
+
+    bodies = pages.select("page_id", "url", "html").join(wanted, ["url", "page_id"])
+    extracted = extract.extract_pages(bodies, **root)
+    missing = wanted.where(F.col("page_id").isNull()).select(
+        *[c if c in wanted.columns else F.lit(None).cast("string").alias(c) for c in extracted.columns]
+    )
+    rows = ingest.article_rows(extracted.unionByName(missing))
+    rows = write_and_read(rows, "extracted")
+    sinks.append_articles(rows, path)
     return ingest.ingest_summary(rows)
 
 
@@ -48,7 +58,6 @@ def embed_new_articles(
     """
     pending = embed.articles_without_chunks(articles.select("id", "content"), chunks)
     rows = embed.chunk_and_embed(pending, provider, budget=budget, count=count)
-    key = F.concat_ws("/", "article_id", "chunk_no", "part_no")
-    rows = write_and_read(rows.withColumn("_key", key), "chunks")
-    start = ingest.next_serial(chunks, "chunk_id")
-    return sinks.append_chunks(ingest.with_serial(rows, "_key", start, "chunk_id"), path)
+    rows = write_and_read(rows, "chunks")
+    numbered = ingest.with_chunk_ids(rows, ingest.next_serial(chunks, "chunk_id"))
+    return sinks.append_chunks(numbered, path)

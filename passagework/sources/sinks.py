@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from passagework import schemas
 
 
+def create_table(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """An empty table at `path`, unless something is stored there already."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(path)
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """`df` with exactly the columns of `schema`; absent ones are NULL."""
     return df.select(

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from passagework import fixed, schemas
 from passagework.operators.chunk import chunk_documents
 from passagework.operators.extract import extract_pages
-from passagework.operators.ingest import article_rows
+from passagework.operators.ingest import article_rows, first_pages
 
 
 ARTICLE_COLUMNS = "page_id bigint, url string, title string, content string, batch_id bigint"
@@ -60,9 +60,7 @@ def start(
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         known = stored(session, target, "articles").where(F.col("batch_id") != batch_id)
-        # the smallest page id stands for a URL that occurs more than once
-        first = batch.groupBy("url").agg(F.min("page_id").alias("page_id"))
-        fresh = first.join(known.select("url"), "url", "left_anti")
+        fresh = first_pages(batch).join(known.select("url"), "url", "left_anti")
         wanted = batch.join(fresh, ["url", "page_id"], "left_semi")
         rows = article_rows(extract_pages(wanted, root_id=root_id, root_tag=root_tag))
         articles = f"{target}/articles/batch_id={batch_id}"

@@ -2,9 +2,11 @@ from urllib.parse import unquote, urlparse
 
 from pyspark.sql import functions as F
 
-from passagework import fixed
+from passagework import fixed, schemas
+from passagework.functions.embedding import HashingProvider
 from passagework.functions.urls import normalize_url, title_from_url
 from passagework.operators import constraints, embed, extract, ingest
+from passagework.plans import loading
 from passagework.session import new_path
 from passagework.sources import readers, sinks
 from passagework.streaming import incremental
@@ -117,6 +119,54 @@ def test_serial_numbers_are_dense_repeatable_and_continue(spark):
     assert ingest.next_serial(spark.createDataFrame([], "id long")) == 0
 
 
+def test_chunk_ids_are_unique_and_continue(spark):
+    rows = spark.createDataFrame(
+        [(7, c, p) for c in range(3) for p in range(2)] + [(9, 0, 0), (8, 2, 1)],
+        "article_id int, chunk_no int, part_no int",
+    )
+    numbered = ingest.with_chunk_ids(rows, 100).orderBy("article_id", "chunk_no", "part_no").collect()
+    ids = [r.chunk_id for r in numbered]
+    assert ids == sorted(set(ids)) and ids[0] == 101
+    assert ingest.with_chunk_ids(rows.where("false"), 0).count() == 0
+
+
+def test_loading_flow_twice(spark):
+    pages = spark.createDataFrame(
+        [
+            (1, "https://en.x.org/a", page("one")),
+            (2, "https://en.x.org/a", page("other capture")),
+            (3, "https://en.x.org/b", "<p>no root"),
+            (4, "https://known.org/k", page("known")),
+            (5, "https://unused.org/u", page("unused")),
+            (6, "http://en.x.org/a", page("plain")),
+        ],
+        "page_id long, url string, html string",
+    )
+    path = new_path(spark, "articles")
+    known = spark.createDataFrame([(50, "https://known.org/k")], "id long, url string")
+    summary = loading.load_articles(questions(spark), pages, known, path)
+    assert {r.status: r.n_rows for r in summary.collect()} == {"processed": 2, "no content": 2}
+    stored = readers.read_articles(spark, path)
+    assert {(r.url, r.content) for r in stored.collect()} == {
+        ("https://en.x.org/a", "one"), ("http://en.x.org/a", "plain"),
+    }
+    assert all(50 < r.id <= 54 for r in stored.collect())
+    again = known.unionByName(stored.select("id", "url"))
+    summary = loading.load_articles(questions(spark), pages, again, path)
+    assert {r.status: r.n_rows for r in summary.collect()} == {"no content": 2}
+    assert readers.read_articles(spark, path).count() == 2
+
+    out, provider = new_path(spark, "chunks"), HashingProvider(4, 20)
+    sinks.create_table(spark, out, schemas.CHUNKS)
+    empty = readers.read_chunks(spark, out)
+    assert loading.embed_new_articles(stored, empty, out, provider).count() == 0
+    chunks = readers.read_chunks(spark, out)
+    assert chunks.count() == 2 == chunks.select("chunk_id").distinct().count()
+    sinks.create_table(spark, out, schemas.CHUNKS)
+    loading.embed_new_articles(stored, chunks, out, provider)
+    assert readers.read_chunks(spark, out).count() == 2
+
+
 def test_constraints(spark):
     articles = spark.createDataFrame(
         [(1, "a", [1.0, 2.0]), (1, None, None), (None, "t" * 256, [1.0]), (3, "c", None)],

@@ -156,18 +156,14 @@ def append_articles(spark, sf):
 
 
 @query(
-    f"""WITH {sql.PAGE_TEXT}
-    SELECT url, content, ('0x' || substr(md5(url), 1, 3))::INT AS bucket,
+    """SELECT page_id, url, ('0x' || substr(md5(url), 1, 3))::INT AS bucket,
            row_number() OVER (ORDER BY ('0x' || substr(md5(url), 1, 3))::INT, url) + 1000 AS id
-    FROM page_text"""
+    FROM pages"""
 )
 def serial_ids(spark, sf):
-    pages = extract.extract_pages(
-        views.heavy(spark, sf, "pages", "page_id"), root_id=None, root_tag="article"
-    ).select("url", "content")
-    numbered = ingest.with_serial(pages, "url", 1000)
+    pages = views.table(spark, sf, "pages").select("page_id", "url")
     bucket = F.conv(F.substring(F.md5("url"), 1, 3), 16, 10).cast("int")
-    return numbered.withColumn("bucket", bucket)
+    return ingest.with_serial(pages, "url", 1000).withColumn("bucket", bucket)
 
 
 @query(
@@ -294,11 +290,11 @@ _FRESH = f"""{sql.LINKS}, {sql.PAGE_TEXT}, fresh AS (
 
 
 @query(
-    f"""WITH {_FRESH}
-    SELECT url, title, content,
-           (SELECT max(page_id) FROM pages WHERE url LIKE 'http://%')
-             + row_number() OVER (ORDER BY ('0x' || substr(md5(url), 1, 3))::INT, url) AS id
-    FROM loaded WHERE content IS NOT NULL"""
+    f"""WITH {_FRESH}, numbered AS (
+      SELECT *, (SELECT max(page_id) FROM pages WHERE url LIKE 'http://%')
+                + row_number() OVER (ORDER BY ('0x' || substr(md5(url), 1, 3))::INT, url) AS id
+      FROM loaded)
+    SELECT url, title, content, id FROM numbered WHERE content IS NOT NULL"""
 )
 def load_articles(spark, sf):
     """Questions to stored articles, where the pages with plain http are stored already."""

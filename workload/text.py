@@ -9,7 +9,7 @@ from passagework.functions import text, vectors
 from passagework.operators import chunk, embed
 from passagework.plans import loading
 from passagework.session import new_path
-from passagework.sources import readers
+from passagework.sources import readers, sinks
 from workload import sql, views
 from workload.ingest import millionths
 from workload.registry import query
@@ -122,10 +122,9 @@ def chunk_and_embed(spark, sf):
 
 @query(
     f"""WITH RECURSIVE {DOCS}, {sql.chunked('docs', SMALL_BUDGET)},
-    keyed AS (SELECT *, id || '/' || chunk_no || '/0' AS key FROM cut),
     numbered AS (
-      SELECT row_number() OVER (ORDER BY ('0x' || substr(md5(key), 1, 3))::INT, key) AS chunk_id,
-             id AS article_id, content_chunk FROM keyed),
+      SELECT (id - min(id) OVER ()) * (max(chunk_no) OVER () + 1) + chunk_no + 1 AS chunk_id,
+             id AS article_id, content_chunk FROM cut),
     texts AS (SELECT chunk_id AS id, content_chunk AS text FROM numbered), {sql.hashed('texts')}
     SELECT n.chunk_id, n.article_id, n.content_chunk,
            array_to_string(list_transform(h.v, lambda x: round(x::DOUBLE * 1000000)::BIGINT), ',') AS vector
@@ -135,11 +134,11 @@ def embed_new_articles(spark, sf):
     """Two runs: the second finds every article done."""
     articles = views.documents(spark, sf, heavy_work=True)
     path = new_path(spark, "chunks")
-    stored = spark.createDataFrame([], schemas.CHUNKS)
+    sinks.create_table(spark, path, schemas.CHUNKS)
     for _ in range(2):
-        loading.embed_new_articles(articles, stored, path, views.provider(), budget=SMALL_BUDGET)
         stored = readers.read_chunks(spark, path)
-    return stored.select(
+        loading.embed_new_articles(articles, stored, path, views.provider(), budget=SMALL_BUDGET)
+    return readers.read_chunks(spark, path).select(
         "chunk_id", "article_id", "content_chunk", millionths("content_chunk_vector").alias("vector")
     )
 
