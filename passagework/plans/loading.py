@@ -12,6 +12,8 @@ from passagework.operators import embed, extract, ingest
 from passagework.session import write_and_read
 from passagework.sources import sinks
 
+MAX_BROADCAST_FAILURES = 100_000
+
 
 def load_articles(
     questions: DataFrame, pages: DataFrame, existing: DataFrame, path: str, **root
@@ -53,11 +55,18 @@ def embed_new_articles(
 ) -> DataFrame:
     """Store the chunks of all articles that have none; returns the chunks without a vector.
 
-    `chunks` is what `path` holds so far. A failed article stays without
-    chunks, so the next run takes it up again.
+    `chunks` is what `path` holds so far. An article is stored with all its
+    chunks or not at all, so the next run takes up every failed one again.
     """
     pending = embed.articles_without_chunks(articles.select("id", "content"), chunks)
     rows = embed.chunk_and_embed(pending, provider, budget=budget, count=count)
     rows = write_and_read(rows, "chunks")
+    lost = rows.where(F.col("content_chunk_vector").isNull())
+    failed = lost.select("article_id").distinct()
+    n_failed = failed.limit(MAX_BROADCAST_FAILURES + 1).count()
+    if n_failed:  # the usual case has none and joins nothing
+        small = n_failed <= MAX_BROADCAST_FAILURES
+        rows = rows.join(F.broadcast(failed) if small else failed, "article_id", "left_anti")
     numbered = ingest.with_chunk_ids(rows, ingest.next_serial(chunks, "chunk_id"))
-    return sinks.append_chunks(numbered, path)
+    sinks.append_chunks(numbered, path)
+    return lost

@@ -5,13 +5,15 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from passagework import fixed
+from passagework import fixed, schemas
 from passagework.functions import vectors
 from passagework.functions.embedding import HashingProvider, TooLong
 from passagework.functions.text import text_match
 from passagework.functions.vectors import LocalTopK
 from passagework.operators import embed, retrieve
 from passagework.plans import answering
+from passagework.session import new_path
+from passagework.sources import readers, sinks
 
 
 # the providers below are sent to the workers, which cannot import this file
@@ -212,6 +214,30 @@ def test_too_long_chunks_are_cut_at_half_the_budget(spark):
     assert all(len(r.content_chunk_vector) == 4 for r in rows)
 
 
+def test_a_failed_article_is_taken_up_again(spark, monkeypatch):
+    from passagework.plans import loading
+
+    articles = spark.createDataFrame(
+        [(1, "fine one"), (2, "xx yy bad zz"), (3, "fine two")], "id long, content string"
+    )
+    for most in (0, 10):
+        monkeypatch.setattr(loading, "MAX_BROADCAST_FAILURES", most)
+        path = new_path(spark, "chunks")
+        sinks.create_table(spark, path, schemas.CHUNKS)
+
+        def run(provider):
+            stored = readers.read_chunks(spark, path)
+            return loading.embed_new_articles(articles, stored, path, provider, budget=2)
+
+        assert {r.content_chunk for r in run(Picky(4, 1)).collect()} == {"bad zz"}
+        stored = readers.read_chunks(spark, path)
+        assert {r.article_id for r in stored.collect()} == {1, 3}
+        assert run(HashingProvider(4, 1)).count() == 0
+        stored = readers.read_chunks(spark, path)
+        assert {r.article_id for r in stored.collect()} == {1, 2, 3}
+        assert stored.select("chunk_id").distinct().count() == stored.count() == 4
+
+
 def test_title_vectors(spark):
     articles = spark.createDataFrame(
         [(1, "a", [1.0, 0.0]), (2, "b", None), (3, "c", None)],
