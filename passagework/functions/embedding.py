@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from typing import Protocol
 
 import numpy as np
@@ -23,6 +22,24 @@ class Provider(Protocol):
     def embed(self, texts: list[str]) -> list[np.ndarray]: ...
 
 
+class _Places(dict):
+    """word -> signed place: the bucket plus one, negative where the word counts down."""
+
+    MOST_WORDS = 500_000
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        digest = hashlib.md5(word.encode("utf-8")).hexdigest()
+        place = int(digest[:4], 16) % self.dim + 1
+        if len(self) >= self.MOST_WORDS:  # only a cache
+            self.clear()
+        self[word] = place if int(digest[4], 16) < 8 else -place
+        return self[word]
+
+
 class HashingProvider:
     """Signed feature hashing of words by md5, scaled to unit length.
 
@@ -31,33 +48,21 @@ class HashingProvider:
     """
 
     WORD = re.compile(r"[^\W_]+")
-    CACHE_WORDS = 200_000
 
     def __init__(self, dim: int, batch_size: int):
         self.dim = dim
         self.batch_size = batch_size
-        self._places: dict[str, tuple[int, int]] = {}
+        self._places = _Places(dim)
 
     def __reduce__(self):
         return (HashingProvider, (self.dim, self.batch_size))
 
-    def _place(self, word: str) -> tuple[int, int]:
-        place = self._places.get(word)
-        if place is None:
-            digest = hashlib.md5(word.encode("utf-8")).hexdigest()
-            place = int(digest[:4], 16) % self.dim, 1 if int(digest[4], 16) < 8 else -1
-            if len(self._places) >= self.CACHE_WORDS:
-                self._places.clear()
-            self._places[word] = place
-        return place
-
     def embed(self, texts: list[str]) -> list[np.ndarray]:
         return [self._vector(text) for text in texts]
 
     def _vector(self, text: str) -> np.ndarray:
-        vector = np.zeros(self.dim)
-        for word, times in Counter(self.WORD.findall(text.lower())).items():
-            bucket, sign = self._place(word)
-            vector[bucket] += sign * times
+        words = self.WORD.findall(text.lower())
+        places = np.fromiter(map(self._places.__getitem__, words), np.int64, len(words))
+        vector = np.bincount(np.abs(places), np.sign(places), self.dim + 1)[1:]
         length = np.sqrt(np.square(vector).sum())
         return (vector / length if length else vector).astype(np.float32)

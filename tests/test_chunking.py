@@ -56,13 +56,19 @@ def test_rules_by_example():
 
 
 def test_column_expressions_agree_with_the_helper(spark):
-    bodies = ["", "a", "a b", " a  b \n\nccccc ", "\n", "éx y"]
+    bodies = ["", "a", "a b", " a  b \n\nccccc ", "\n", "\u00e9 x y", "\U0001f600" * 9, "a\u00a0b\tc\r\nd"]
     rows = (
         spark.createDataFrame([(b,) for b in bodies], "t string")
-        .select("t", text.words(F.col("t")).alias("w"), text.text_tokens(F.col("t")).alias("n"))
+        .select(
+            "t",
+            text.words(F.col("t")).alias("w"),
+            text.text_tokens(F.col("t")).alias("n"),
+            F.transform(text.words(F.col("t")), text.estimated_tokens).alias("each"),
+        )
         .collect()
     )
     for row in rows:
+        assert row.each == list(chunking.estimate_counts(row.w))
         assert row.w == chunking.split_words(row.t)
         assert row.n == chunking.estimate_counts(row.w).sum()
 
