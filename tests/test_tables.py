@@ -90,6 +90,30 @@ def test_null_order(rows):
         ids("Up")
 
 
+@pytest.mark.parametrize(
+    "offset, limit", [(0, 40), (13, 20), (37, None), (99, 1), (100, 5), (250, None), (0, 0), (95, 50)]
+)
+def test_deep_pages_without_one_task(spark, plan, monkeypatch, offset, limit):
+    monkeypatch.setattr(tables, "MAX_PAGE_ROWS", 0)
+    df = spark.range(0, 100, 1, 5).selectExpr("id", "if(id % 3 = 0, null, id % 7) n")
+    out = tables.select_many(
+        df, order_by=[{"n": "Desc"}, {"id": "Asc"}], offset=offset, limit=limit, fields=["id"]
+    )
+    wanted = sorted(range(100), key=lambda i: (i % 3 != 0, -(i % 7) if i % 3 else 0, i))
+    end = None if limit is None else offset + limit
+    assert [r.id for r in out.collect()] == wanted[offset:end]
+    if limit is None:
+        assert "GlobalLimit" not in plan(out)
+
+
+def test_deep_page_over_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(tables, "MAX_PAGE_ROWS", 10)
+    df = spark.range(0, 1000, 1, 4).selectExpr("id", "1 n")
+    page = tables.select_many(df, order_by=[{"n": "Asc"}], offset=300, limit=450)
+    assert page.select("id").distinct().count() == page.count() == 450
+    assert tables.select_many(df, offset=990).count() == 10
+
+
 def test_by_id_and_pages(rows):
     assert [r.id for r in tables.select_by_id(rows, 4).collect()] == [4]
     assert [r.id for r in tables.keyset_page(rows, 2, 2).collect()] == [3, 4]

@@ -152,6 +152,21 @@ def select_many(spark, sf):
     )
 
 
+@query(
+    """SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem
+    ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey OFFSET 1000"""
+)
+def offset_without_limit(spark, sf):
+    """Everything after the first thousand rows."""
+    key = ["l_orderkey", "l_linenumber", "l_partkey"]
+    return tables.select_many(
+        _lines(spark, sf),
+        order_by=[{"l_extendedprice": "Desc"}, *({c: "Asc"} for c in key)],
+        offset=1000,
+        fields=[*key, "l_extendedprice"],
+    )
+
+
 @query(f"WITH {sql.ARTICLES} SELECT id, title, content FROM articles WHERE id = 42")
 def select_by_id(spark, sf):
     return tables.select_by_id(views.documents(spark, sf), 42).select("id", "title", "content")
