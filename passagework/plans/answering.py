@@ -49,8 +49,14 @@ def similar_articles(
 
 
 def embedded_queries(queries: DataFrame, provider: Provider) -> DataFrame:
-    """`queries` with the vector `q` of their `query` text."""
-    return embed(queries, "query", provider, vector_col="q").drop("error")
+    """`queries` with the vector `q` of their `query` text.
+
+    A query that cannot be embedded fails its task, which Spark retries, and in
+    the end the job: a prompt without its context would look like an answer.
+    """
+    failed = F.raise_error(F.concat(F.lit("query not embedded: "), "error")).cast("array<float>")
+    vector = F.when(F.col("error").isNotNull(), failed).otherwise(F.col("q"))
+    return embed(queries, "query", provider, vector_col="q").withColumn("q", vector).drop("error")
 
 
 def naive_prompts(

@@ -294,6 +294,13 @@ def test_naive_prompt_text(spark):
     assert row.prompt.index("1 (similarity: 0.50):\nten") < row.prompt.index("2 (similarity: 0.50):\neleven")
 
 
+def test_a_query_that_cannot_be_embedded_fails_the_job(spark):
+    chunks, _ = corpora(spark)
+    asked = spark.createDataFrame([(7, "bad question")], "qid long, query string")
+    with pytest.raises(Exception, match="query not embedded: RuntimeError: no"):
+        answering.naive_prompts_chunks(asked, chunks, Picky(3, 5)).collect()
+
+
 def test_prompt_without_hits(spark):
     chunks, _ = corpora(spark)
     asked = spark.createDataFrame([(7, "a question")], "qid long, query string")
