@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from passagework.session import build_session  # noqa: E402
+from passagework.session import build_session, ship_package  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -22,6 +22,7 @@ def spark(tmp_path_factory):
         },
     )
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     yield session
     session.stop()
 
