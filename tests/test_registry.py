@@ -20,7 +20,7 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.QUERIES))
 def test_same_rows_as_sql(spark, sf, duck, name):
     df = entry.queries()[name](spark, sf)
     columns = sorted(df.columns)
@@ -34,5 +34,5 @@ def test_same_rows_as_sql(spark, sf, duck, name):
 
 
 def test_contract(spark):
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(entry.SQL) == set(entry.QUERIES)
     assert entry.entry(spark).count() == 40
