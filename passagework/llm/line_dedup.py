@@ -29,29 +29,33 @@ from pyspark.sql import functions as F
 EDITS = 2
 MIN_CHARS = 16
 HEAVY = 10_000
+#: Narrow rows that a join may send to every task; more are shuffled.
+SENT_ROWS = 200_000
+BLANKS = " \t\n\x0b\x0c\r"
+#: Characters that candidates are compared by before their distance is taken.
+COUNTED = "etaonisrhdluc "
 
 
-def segment_keys(line: Column, edits: int) -> Column:
-    """Keys of a line: for every length it may meet and every segment, its substrings there.
+def segment_keys(edits: int) -> Column:
+    """Keys of a `line` of `n` code points: for every length it may meet and every segment, its
+    substrings there.
 
     Keys name the shorter line's length, so two lines meet where the shorter one's segment
     is a substring of the longer one.
     """
-    n, parts = F.length(line), edits + 1
-    found = []
-    for delta in range(edits + 1):
-        size = n - delta
-        base, extra = F.floor(size / parts).cast("int"), size % parts
-        for i in range(parts):
-            # the last `extra` segments are one longer
-            longer = F.greatest(extra - (parts - 1 - i), F.lit(0))
-            start = base * i + F.greatest(extra - (parts - i), F.lit(0)) + 1
-            width = base + F.when(longer > 0, 1).otherwise(0)
-            low = max(-i, delta - (edits - i))
-            high = min(i, delta + (edits - i))
-            for shift in range(low, high + 1):
-                found.append(F.xxhash64(F.lit(i), size, line.substr(start + shift, width)))
-    return F.array(*found)
+    parts = edits + 1
+    probes = [
+        f"named_struct('i', {i}, 'less', {less}, 'shift', {shift})"
+        for less in range(edits + 1)
+        for i in range(parts)
+        for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1)
+    ]
+    # the last (size mod parts) segments are one longer
+    size, plain = "(n - p.less)", f"({parts} - (n - p.less) % {parts})"
+    base = f"cast({size} div {parts} AS int)"
+    start = f"{base} * p.i + greatest(p.i - {plain}, 0) + p.shift + 1"
+    width = f"{base} + CASE WHEN p.i >= {plain} THEN 1 ELSE 0 END"
+    return F.expr(f"transform(array({', '.join(probes)}), p -> xxhash64(p.i, {size}, substring(line, {start}, {width})))")
 
 
 def bounded_distance(a: str, b: str, edits: int) -> str:
@@ -87,7 +91,7 @@ def bounded_distance(a: str, b: str, edits: int) -> str:
 def _lines(documents: DataFrame, *columns: str) -> DataFrame:
     """One row for each line that is not blank: doc_id, line_no, line, h1, h2."""
     lines = documents.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    lines = lines.where(F.btrim("line", F.lit(BLANKS)) != "")
     return lines.select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
@@ -95,38 +99,51 @@ def _place() -> Column:
     return F.struct("doc_id", "line_no")
 
 
-def line_verdicts(documents: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame]:
-    """Distinct lines (h1, h2, first, n), and links between them (a, b: h1 of the older and the younger)."""
-    lines = _lines(documents)
-    known = write_and_read(lines.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n")), "distinct-lines")
+def sized(table: DataFrame) -> DataFrame:
+    """Mark a stored table for broadcast if it has at most `SENT_ROWS` rows; joins shuffle otherwise."""
+    return F.broadcast(table) if table.count() <= SENT_ROWS else table
+
+
+def line_verdicts(documents: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All lines (doc_id, line_no, h1, h2), distinct ones (h1, h2, first, n), and links between
+    those (a, b: h1 of the older and the younger; ordered: they are not of the same age)."""
+    lines = _lines(documents).withColumn("n", F.length("line"))
+    keys = F.when(F.col("n") >= MIN_CHARS, segment_keys(edits))
+    every = write_and_read(lines.select("doc_id", "line_no", "h1", "h2", keys.alias("keys")), "all-lines")
+    known = write_and_read(every.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n")), "distinct-lines")
     total = known.agg(F.sum("n")).first()[0] or 0
-    heavy = known.where(F.col("n") * HEAVY > total).select("h1", "h2", "first")
-    long_ = lines.where(F.length("line") >= MIN_CHARS)
-    light = long_.join(F.broadcast(heavy.select("h1", "h2")), ["h1", "h2"], "left_anti").select("h1", "line")
-    once = long_.withColumn("at", _place()).join(F.broadcast(heavy), ["h1", "h2"])
-    once = once.where(F.col("at").eqNullSafe(F.col("first"))).select("h1", "line")
-    keys = light.unionAll(once).select("h1", F.explode(segment_keys(F.col("line"), edits)).alias("key")).select("key", "h1").repartition("key")
-    shared = keys.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("key")
-    of_line = keys.join(shared, "key", "left_semi").groupBy("h1").agg(F.collect_set("key").alias("keys"))
+    heavy = F.broadcast(known.where(F.col("n") * HEAVY > total).select("h1", "h2", "first"))
+    long_ = every.where("keys IS NOT NULL")
+    light = long_.join(heavy.select("h1", "h2"), ["h1", "h2"], "left_anti").select("h1", "keys")
+    once = long_.join(heavy, ["h1", "h2"]).where(_place().eqNullSafe(F.col("first"))).select("h1", "keys")
+    rows = light.unionAll(once).select("h1", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("key")
+    shared = sized(write_and_read(shared, "shared-keys"))
+    of_line = rows.join(shared, "key", "left_semi").groupBy("h1").agg(F.collect_set("key").alias("keys"))
     of_line = write_and_read(of_line, "line-keys")
 
     places = of_line.join(known, "h1").select("h1", "first", "keys")
     wanted = places.groupBy(F.col("first.doc_id").alias("wanted_id")).agg(F.collect_list(F.struct("first.line_no", "h1", "keys")).alias("wanted"))
-    texts = documents.where("text IS NOT NULL").join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted_id")))
+    wanted = write_and_read(wanted, "wanted-lines")
+    texts = documents.where("text IS NOT NULL").join(sized(wanted), F.col("doc_id").eqNullSafe(F.col("wanted_id")))
     found = texts.select("doc_id", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
     found = found.select("doc_id", "w.line_no", F.expr("get(lines, w.line_no)").alias("line"), "w.h1", "w.keys")
     found = found.where(F.xxhash64("line") == F.col("h1"))  # rows with an equal doc_id hold other lines there
     points = F.transform(F.split("line", ""), lambda c: F.ascii(c))
-    found = found.select("h1", _place().alias("first"), F.length("line").alias("size"), points.alias("points"), "keys")
+    counts = F.array(*[F.length("line") - F.length(F.replace("line", F.lit(c))) for c in COUNTED])
+    found = found.select("h1", _place().alias("first"), F.length("line").alias("size"), points.alias("points"), counts.alias("counts"), "keys")
     found = write_and_read(found.dropDuplicates(["h1"]), "lines-to-compare")
 
-    one = found.select("h1", "first", "size", "points", "keys", F.explode("keys").alias("key"))
+    one = found.select("h1", "first", "size", "points", "counts", "keys", F.explode("keys").alias("key"))
     a = one.select(*[F.col(c).alias(f"a_{c}") for c in one.columns])
     b = one.select(*[F.col(c).alias(f"b_{c}") for c in one.columns])
+    # an edit changes at most two of the counts, by one each
+    apart = sum((F.abs(F.col("a_counts")[i] - F.col("b_counts")[i]) for i in range(len(COUNTED))), F.lit(0))
     linked = (
         (F.col("a_key") == F.col("b_key"))
         & (F.col("a_h1") < F.col("b_h1"))
         & (F.abs(F.col("a_size") - F.col("b_size")) <= edits)
+        & (apart <= 2 * edits)
         & (F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("a_key"))
         & F.expr(f"{bounded_distance('a_points', 'b_points', edits)} <= {edits}")
     )
@@ -136,17 +153,17 @@ def line_verdicts(documents: DataFrame, edits: int = EDITS) -> tuple[DataFrame,
         F.when(older, F.col("b_h1")).otherwise(F.col("a_h1")).alias("b"),
         (F.col("a_first") != F.col("b_first")).alias("ordered"),
     )
-    return known, write_and_read(links, "line-links")
+    return every, known, write_and_read(links, "line-links")
 
 
 def removed_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     """removed_id, gone (line numbers), n_near, n_links of documents with such lines."""
-    known, links = line_verdicts(documents, edits)
+    every, known, links = line_verdicts(documents, edits)
     ends = links.select(F.col("a").alias("h1"), F.lit(False).alias("late")).unionAll(links.select(F.col("b").alias("h1"), F.col("ordered").alias("late")))
     degree = ends.groupBy("h1").agg(F.count("*").alias("links"), F.max("late").alias("near"))
     judged = known.join(degree, "h1", "left").where("n > 1 OR links IS NOT NULL")
     judged = judged.select("h1", "h2", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("near", F.lit(False)).alias("near"))
-    lines = _lines(documents).select("doc_id", "line_no", "h1", "h2").join(judged, ["h1", "h2"])
+    lines = every.drop("keys").join(judged, ["h1", "h2"])
     lines = lines.withColumn("go", F.col("near") | ~_place().eqNullSafe(F.col("first")))
     lines = lines.groupBy("doc_id").agg(
         F.collect_set(F.when(F.col("go"), F.col("line_no"))).alias("gone"),
@@ -190,7 +207,7 @@ def without_repeats(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     """
     columns = documents.columns
     out = _joined(documents, removed_lines(documents, edits)).withColumn("left", _kept_text())
-    out = out.where((F.coalesce(F.size("gone"), F.lit(0)) <= 0) | F.col("left").rlike(r"[^\x20\x09-\x0D]"))
+    out = out.where((F.coalesce(F.size("gone"), F.lit(0)) <= 0) | (F.btrim("left", F.lit(BLANKS)) != ""))
     out = out.withColumn("text", F.col("left"))
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.when(F.size("gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
