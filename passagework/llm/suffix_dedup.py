@@ -32,7 +32,7 @@ import pyarrow as pa
 from passagework.llm import blocks
 from passagework.llm.suffix_array import neighbours, suffix_array
 from passagework.session import write_and_read
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LENGTH = 50
@@ -45,6 +45,7 @@ CHUNK_PIECES = 150_000
 SHARD_BYTES = 1 << 20
 
 _RUNS = "bucket long, docs binary, keys binary, owners binary, ordinals binary, shared binary"
+_SHARED_PACKED = "doc_group long, docs binary, ordinals binary"
 _SHARED = "doc_id long, ordinals binary"
 _PIECES = "shard long, doc_id long, row_hash long, ranges binary, pieces binary, sizes binary, docs binary, hashes binary, starts binary, which binary"
 _RANGES = "doc_id long, row_hash long, ranges binary"
@@ -137,8 +138,38 @@ def _find_runs(length: int, buckets: int):
     return run
 
 
-def _share(table: pa.Table) -> pa.Table:
-    """For one bucket: by document, the runs whose minimizer two documents have."""
+def _share(groups: int):
+    """For one bucket: the runs whose minimizer two documents have, packed by groups of documents."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, ordinals = _shared_runs(table)
+        group = (blocks.mix(ids.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        group, ids, ordinals = group[order], ids[order], ordinals[order]
+        first = _firsts(group)
+        parts = [np.split(x, first[1:]) if len(x) else [] for x in (ids, ordinals)]
+        return pa.table({"doc_group": pa.array(group[first], pa.int64()), "docs": blocks.binary(parts[0]), "ordinals": blocks.binary(parts[1])})
+
+    return run
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """For one group of documents: a row for each with its runs."""
+    ids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()])
+    ordinals = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("ordinals").to_pylist()])
+    order = np.argsort(ids, kind="stable")
+    ids, ordinals = ids[order], ordinals[order]
+    first = _firsts(ids)
+    return pa.table({"doc_id": pa.array(ids[first], pa.int64()), "ordinals": blocks.binary(np.split(ordinals, first[1:]))})
+
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where a sorted array has a new value."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.empty(0, np.int64)
+
+
+def _shared_runs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and numbers of the runs whose minimizer two documents have."""
     keys, ids, ordinals, marked, out_ids, out_ordinals = [], [], [], [], [], []
     for row in table.to_pylist():
         docs, own = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["owners"], np.uint16)
@@ -161,12 +192,16 @@ def _share(table: pa.Table) -> pa.Table:
         pick = np.repeat(several, sizes) & ~marked
         out_ids.append(ids[pick])
         out_ordinals.append(ordinals[pick])
-    ids, ordinals = np.concatenate(out_ids), np.concatenate(out_ordinals)
-    order = np.argsort(ids, kind="stable")
-    ids, ordinals = ids[order], ordinals[order]
-    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1])) if len(ids) else np.empty(0, np.int64)
-    parts = np.split(ordinals, first[1:]) if len(ids) else []
-    return pa.table({"doc_id": pa.array(ids[first], pa.int64()), "ordinals": blocks.binary(parts)})
+    return np.concatenate(out_ids), np.concatenate(out_ordinals)
+
+
+def _pressed(x: bytes | np.ndarray) -> bytes:
+    raw = x if isinstance(x, bytes) else x.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpressed(x: bytes) -> bytes:
+    return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True)
 
 
 def _send_pieces(length: int, shards: int):
@@ -185,9 +220,9 @@ def _send_pieces(length: int, shards: int):
             starts = [s for *_, found in own for s in found]
             which = np.repeat(np.arange(len(own)), [len(found) for *_, found in own])
             rows.append((
-                shard, None, None, None, b"".join(p for p, *_ in own), np.array([len(p) for p, *_ in own], np.uint32).tobytes(),
-                np.array([d for _, d, _, _ in own], np.int64).tobytes(), np.array([h for _, _, h, _ in own], np.int64).tobytes(),
-                np.array(starts, np.int64).tobytes(), which.astype(np.uint32).tobytes(),
+                shard, None, None, None, _pressed(b"".join(p for p, *_ in own)), _pressed(np.array([len(p) for p, *_ in own], np.uint32)),
+                _pressed(np.array([d for _, d, _, _ in own], np.int64)), np.array([h for _, _, h, _ in own], np.int32).tobytes(),
+                _pressed(np.array(starts, np.uint32)), _pressed(which.astype(np.uint32)),
             ))
         for (doc, row_hash), ranges in decided.items():
             rows.append((abs(hash(doc)) % shards, doc, row_hash, np.array(ranges, np.int64).tobytes(), *[None] * 6))
@@ -208,7 +243,7 @@ def _send_pieces(length: int, shards: int):
                 shard_of = (blocks.mix(keys) % np.uint64(shards)).astype(np.int64)
                 columns = (part.column(c).to_pylist() for c in ("doc_id", "row_hash", "ordinals"))
                 for i, (doc, row_hash, lists) in enumerate(zip(*columns)):
-                    chosen = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in lists])).astype(np.int64)
+                    chosen = np.unique(np.frombuffer(lists, np.uint32)).astype(np.int64)
                     chosen = bounds[i] + chosen[chosen < bounds[i + 1] - bounds[i]]
                     seen += len(chosen)
                     begin = int(offsets[i])
@@ -256,21 +291,21 @@ def _judge_shard(length: int):
             if row["pieces"] is None:
                 decided.append((row["doc_id"], row["row_hash"], np.frombuffer(row["ranges"], np.int64).reshape(-1, 2)))
                 continue
-            sizes = np.frombuffer(row["sizes"], np.uint32)
-            own_docs, own_hashes = np.frombuffer(row["docs"], np.int64), np.frombuffer(row["hashes"], np.int64)
+            sizes, pieces = np.frombuffer(_unpressed(row["sizes"]), np.uint32), _unpressed(row["pieces"])
+            own_docs, own_hashes = np.frombuffer(_unpressed(row["docs"]), np.int64), np.frombuffer(row["hashes"], np.int32)
             own, at = np.empty(len(sizes), np.int64), 0
             for k, (size, doc) in enumerate(zip(sizes.tolist(), own_docs.tolist())):
-                place = own[k] = index.setdefault(row["pieces"][at : at + size], len(index))
+                place = own[k] = index.setdefault(pieces[at : at + size], len(index))
                 if place == len(oldest):
                     oldest.append(doc)
                 elif doc < oldest[place]:
                     oldest[place] = doc
                 at += size
-            which = np.frombuffer(row["which"], np.uint32)
+            which = np.frombuffer(_unpressed(row["which"]), np.uint32)
             piece_of.append(own[which])
             docs.append(own_docs[which])
             hashes.append(own_hashes[which])
-            starts.append(np.frombuffer(row["starts"], np.int64))
+            starts.append(np.frombuffer(_unpressed(row["starts"]), np.uint32).astype(np.int64))
         out = [(np.full(len(r), d, np.int64), np.full(len(r), h, np.int64), r[:, 0], r[:, 1]) for d, h, r in decided]
         if index:
             out.append(_removed(list(index), np.array(oldest), *(np.concatenate(x) for x in (piece_of, docs, hashes, starts)), length))
@@ -340,18 +375,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[c.split()[0] for c in _CUT.split(", ")])
 
 
+def _row_hash(text: Column) -> Column:
+    """Tells rows with an equal doc_id apart; 31 bits of a hash of the text."""
+    return F.pmod(F.xxhash64(text), F.lit(1 << 31)).alias("row_hash")
+
+
 def removed_ranges(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, row_hash, text (binary), ranges (list of binary pairs) of rows that lose bytes."""
     texts = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_hash"), F.col("text").cast("binary").alias("text")
+        F.col("doc_id").cast("long").alias("doc_id"), _row_hash(F.col("text")), F.col("text").cast("binary").alias("text")
     )
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total * 2 // ((length - GRAM + 2) * BUCKET_RUNS)))
     runs = texts.mapInArrow(_find_runs(length, buckets), _RUNS)
-    shared = runs.groupBy("bucket").applyInArrow(_share, _SHARED)
-    shared = shared.groupBy("doc_id").agg(F.collect_list("ordinals").alias("ordinals"))
+    shared = runs.groupBy("bucket").applyInArrow(_share(buckets), _SHARED_PACKED)
+    shared = shared.groupBy("doc_group").applyInArrow(_by_document, _SHARED)
     marked = write_and_read(texts.join(shared, "doc_id"), "shared-texts")
-    runs_marked = marked.agg(F.sum(F.aggregate("ordinals", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x)))).first()[0] or 0
+    runs_marked = marked.agg(F.sum(F.octet_length("ordinals"))).first()[0] or 0
     # 4 bytes name a run, whose piece has as many bytes as strings, and length - 1 more
     shards = max(1, -(-(runs_marked // 4) * (length + (length - GRAM) // 2) // SHARD_BYTES))
     pieces = marked.mapInArrow(_send_pieces(length, shards), _PIECES)
@@ -366,7 +406,7 @@ def deduplicated(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     `kept` holds the remaining bytes of rows that lost some, and is null for the others.
     """
     text = F.coalesce("text", F.lit(""))
-    whole = documents.select("doc_id", F.xxhash64(text).alias("row_hash"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
+    whole = documents.select("doc_id", _row_hash(text), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
     cut = removed_ranges(documents, length).mapInArrow(_cut, _CUT)
     none = F.lit(0).cast("long")
     return whole.join(cut, ["doc_id", "row_hash"], "left").select(
