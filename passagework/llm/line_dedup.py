@@ -89,10 +89,10 @@ def bounded_distance(a: str, b: str, edits: int) -> str:
 
 
 def _lines(documents: DataFrame, *columns: str) -> DataFrame:
-    """One row for each line that is not blank: doc_id, line_no, line, h1, h2."""
-    lines = documents.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    """One row for each line that is not blank: doc_id, row (a hash of the text), line_no, line, h1, h2."""
+    lines = documents.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.where(F.btrim("line", F.lit(BLANKS)) != "")
-    return lines.select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    return lines.select("doc_id", "row", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
 def _place() -> Column:
@@ -105,11 +105,11 @@ def sized(table: DataFrame) -> DataFrame:
 
 
 def line_verdicts(documents: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All lines (doc_id, line_no, h1, h2), distinct ones (h1, h2, first, n), and links between
+    """All lines (doc_id, row, line_no, h1, h2), distinct ones (h1, h2, first, n), and links between
     those (a, b: h1 of the older and the younger; ordered: they are not of the same age)."""
     lines = _lines(documents).withColumn("n", F.length("line"))
     keys = F.when(F.col("n") >= MIN_CHARS, segment_keys(edits))
-    every = write_and_read(lines.select("doc_id", "line_no", "h1", "h2", keys.alias("keys")), "all-lines")
+    every = write_and_read(lines.select("doc_id", "row", "line_no", "h1", "h2", keys.alias("keys")), "all-lines")
     known = write_and_read(every.groupBy("h1", "h2").agg(F.min(_place()).alias("first"), F.count("*").alias("n")), "distinct-lines")
     total = known.agg(F.sum("n")).first()[0] or 0
     heavy = F.broadcast(known.where(F.col("n") * HEAVY > total).select("h1", "h2", "first"))
@@ -157,24 +157,28 @@ def line_verdicts(documents: DataFrame, edits: int = EDITS) -> tuple[DataFrame,
 
 
 def removed_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
-    """removed_id, gone (line numbers), n_near, n_links of documents with such lines."""
+    """removed_id, removed_row, gone (line numbers), n_near, n_links of documents with such lines."""
     every, known, links = line_verdicts(documents, edits)
     ends = links.select(F.col("a").alias("h1"), F.lit(False).alias("late")).unionAll(links.select(F.col("b").alias("h1"), F.col("ordered").alias("late")))
     degree = ends.groupBy("h1").agg(F.count("*").alias("links"), F.max("late").alias("near"))
     judged = known.join(degree, "h1", "left").where("n > 1 OR links IS NOT NULL")
-    judged = judged.select("h1", "h2", "first", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("near", F.lit(False)).alias("near"))
+    judged = judged.select("h1", "h2", "first", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("near", F.lit(False)).alias("near"))
     lines = every.drop("keys").join(judged, ["h1", "h2"])
-    lines = lines.withColumn("go", F.col("near") | ~_place().eqNullSafe(F.col("first")))
-    lines = lines.groupBy("doc_id").agg(
-        F.collect_set(F.when(F.col("go"), F.col("line_no"))).alias("gone"),
-        F.sum(F.col("near").cast("long")).alias("n_near"),
-        F.sum("links").alias("n_links"),
+    verdict = F.struct("line_no", "links", "near", (F.col("near") | ~_place().eqNullSafe(F.col("first"))).alias("go"))
+    # a set: a line of two equal rows has one verdict
+    lines = lines.groupBy("doc_id", "row").agg(F.collect_set(verdict).alias("verdicts"))
+    return lines.select(
+        F.col("doc_id").alias("removed_id"),
+        F.col("row").alias("removed_row"),
+        F.expr("transform(filter(verdicts, v -> v.go), v -> v.line_no)").alias("gone"),
+        F.expr("size(filter(verdicts, v -> v.near))").alias("n_near"),
+        F.expr("aggregate(verdicts, 0L, (n, v) -> n + v.links)").alias("n_links"),
     )
-    return lines.withColumnRenamed("doc_id", "removed_id")
 
 
 def _joined(documents: DataFrame, removed: DataFrame) -> DataFrame:
-    return documents.join(removed, documents["doc_id"].eqNullSafe(removed["removed_id"]), "left")
+    same = documents["doc_id"].eqNullSafe(removed["removed_id"]) & (F.xxhash64(documents["text"]) == removed["removed_row"])
+    return documents.join(removed, same, "left")
 
 
 def _kept_text() -> Column:

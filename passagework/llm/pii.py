@@ -56,6 +56,10 @@ _INVISIBLE = "­​‌‍⁠﻿"
 _OTHER = {**{c: "-" for c in "‐‑‒–—−"}, **{c: "." for c in "․。｡"}}
 
 _AT_WORD, _DOT_WORD = r"(?:at|arroba|a|@|＠)", r"(?:dot|punkt|punto|point|d0t|\.)"
+# fixed values: words of two letters that end no address when it is written with spaces
+SHORT_WORDS = frozenset("am an as at be by do go he if in is it me my no of oh on or so to up us we".split())
+LONG_ENDINGS = frozenset("com org net edu gov mil int info biz name pro io ai app dev eu example test".split())
+
 _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _AT_BRACKET = re.compile(rf"\s*{_OPEN}\s*{_AT_WORD}\s*{_CLOSE}\s*", re.I)
 _DOT_BRACKET = re.compile(rf"\s*{_OPEN}\s*{_DOT_WORD}\s*{_CLOSE}\s*", re.I)
@@ -215,6 +219,10 @@ def revealed(text: str) -> Rewritten:
     return out
 
 
+def _is_ending(label: str) -> bool:
+    return label in LONG_ENDINGS or (len(label) == 2 and label.isalpha() and label not in SHORT_WORDS)
+
+
 def all_identifiers(text: str, disguised: bool = True) -> tuple[list, list]:
     """Spans in the text as it is, and all spans."""
     base = identifiers(text)
@@ -226,6 +234,8 @@ def all_identifiers(text: str, disguised: bool = True) -> tuple[list, list]:
     added = []
     for a, kind, b in identifiers(out.text):
         start, end = out.first[a], out.last[b - 1]
+        if kind == 0 and re.search(r"\s", text[start:end]) and not _is_ending(out.text[a:b].rpartition(".")[2].lower()):
+            continue  # plain words that happen to have an at and a dot among them
         if not any(k == kind and x < end and start < y for x, k, y in base):
             added.append((start, kind, end))
     return base, sorted(base + added)
