@@ -18,22 +18,12 @@ SKIPPED_HEADINGS = (
     "Bibliography",
 )
 MEDIA_LINK_PREFIXES = ("File", "Image", "Media")
-NOTE_LIST_TEMPLATES = (
-    "reflist",
-    "notelist",
-    "notelist-ua",
-    "notelist-lr",
-    "notelist-ur",
-    "notelist-lg",
-)
 
 # --- fixed values: chunks and vectors ---------------------------------------
 CHUNK_TOKENS = 7600
 VECTOR_DIM = 1536
 CHUNK_EMBED_BATCH = 20
 TITLE_EMBED_BATCH = 100
-ARTICLE_PAGE_ROWS = 5
-TITLE_PAGE_ROWS = 100
 
 # --- fixed values: retrieval ------------------------------------------------
 TOP_K_CHUNKS = 5

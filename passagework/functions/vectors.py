@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ def matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     """Rows of an Arrow list column as a double matrix."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if len(column) and pc.any(pc.not_equal(pc.list_value_length(column), dim)).as_py():
+        raise ValueError(f"every vector must have {dim} elements")
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if len(flat) != len(column) * dim:
         raise ValueError(f"every vector must have {dim} elements")
@@ -74,13 +77,15 @@ class LocalTopK:
     def _add_block(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         # + 0.0 turns a negative zero into zero
         scores = np.round(self.queries @ vectors.T, SCORE_DIGITS) + 0.0
+        # vectors with elements that are no numbers take no part
+        scores[np.isnan(scores)] = -np.inf
         floor, floor_id = self.floor, self.floor_id
         if scores.shape[1] > self.k_max:
             kth = np.partition(scores, scores.shape[1] - self.k_max, axis=1)[:, -self.k_max]
             floor_id = np.where(kth > floor, self.NO_ID, floor_id)
             floor = np.maximum(floor, kth)
         better = scores > floor[:, None]
-        even = (scores == floor[:, None]) & (ids[None, :] <= floor_id[:, None])
+        even = (scores == floor[:, None]) & (ids[None, :] <= floor_id[:, None]) & (scores > -np.inf)
         if np.count_nonzero(even) > 4 * self.k_max * len(self.queries):
             even = self._smallest_ids(even, ids)
         q, col = np.nonzero(better | even)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from passagework import fixed
 from passagework.functions import chunking
-from passagework.functions.embedding import HashingProvider, Provider, TooLong
+from passagework.functions.embedding import Provider, TooLong
 from passagework.operators.chunk import chunk_documents
 
 RESULT_TYPE = "struct<vector:array<float>,error:string>"
@@ -18,10 +18,6 @@ ARROW_RESULT = pa.struct([("vector", pa.list_(pa.float32())), ("error", pa.strin
 EMBEDDED_TYPE = "array<struct<part_no:int,text:string,n_tokens:bigint,vector:array<float>,error:string>>"
 
 
-def default_provider(batch_size: int = fixed.CHUNK_EMBED_BATCH, dim: int = fixed.VECTOR_DIM):
-    return HashingProvider(dim, batch_size)
-
-
 def _ask(provider: Provider, texts: list[str]) -> list[dict]:
     """One request; a failing request marks its own texts only."""
     try:

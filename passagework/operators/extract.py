@@ -111,6 +111,11 @@ def extract_pages(pages: DataFrame, **root) -> DataFrame:
     return read_parts(pages, "content", **root)
 
 
+def page_errors(pages: DataFrame, **root) -> DataFrame:
+    """The pages that the other outputs have no rows of because they cannot be read, and why."""
+    return read_parts(pages, "content", **root).where("error IS NOT NULL").drop("content")
+
+
 def extract_sections(pages: DataFrame, **root) -> DataFrame:
     """One row per section heading with its level and whether the section is left out."""
     found = read_parts(pages, "sections", **root).drop("error")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -48,11 +49,15 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder: `spark.checkpoint.dir`.
 
-    A temporary folder is made only when the setting is absent, which is the
-    single-machine test case, and it is kept for the rest of the process.
+    Without the setting a temporary folder is made, for a session on this machine only;
+    on a cluster every executor would write to a folder of its own, so that fails.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    return path.rstrip("/") if path else _own_dir()
+    if path:
+        return path.rstrip("/")
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own_dir()
 
 
 @cache

@@ -323,3 +323,16 @@ def test_transcript_rounds_defaults_and_cap(spark):
     assert rows[2, 1] == ("assistant", '{"query":"c more"}') and rows[2, 4] == ("assistant", "{}")
     assert rows[2, 5][1].count("Related content") == 2  # three asked for, two have vectors
     assert rows[2, 8] == rows[2, 5]  # unreadable input: the question is searched instead
+
+
+def test_vectors_that_are_no_numbers_take_no_part():
+    import numpy as np
+    import pyarrow as pa
+
+    from passagework.functions.vectors import LocalTopK, matrix
+
+    top = LocalTopK(np.array([[1.0, 0.0]]), np.array([2]))
+    top.add(np.arange(4), np.array([[np.nan, 0], [np.nan, 1], [1, 0], [2, 0]]))
+    assert sorted(top.ids) == [2, 3]
+    with pytest.raises(ValueError):
+        matrix(pa.array([[1.0, 2.0, 3.0], [4.0]]), 2)
