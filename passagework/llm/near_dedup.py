@@ -9,7 +9,8 @@ Equal sets are one vertex. In every band bucket the members are first tried agai
 smallest one only, so a group of copies costs as many pairs as it has members. Members
 that this leaves in another component than their bucket's smallest are then tried
 against all members of other components, by sketches inside the join, so that no link
-that joins components is lost and no group's pairs are written out.
+that joins components is lost and no group's pairs are written out; these members get
+finer odd sketches too, so that hardly a pair is confirmed in vain.
 With a similarity of 0.8 a pair misses all 32 bands of 4 with probability 5e-8.
 
 Null and empty texts have an empty set and stand alone. A text with fewer words than a
@@ -28,16 +29,18 @@ import pyarrow as pa
 from passagework.llm import blocks
 from passagework.llm.components import smallest_reachable
 from passagework.session import write_and_read
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BANDS, ROWS = 32, 4
 SLOTS = BANDS * ROWS
 SKETCH_BITS = 512
-SKETCH_LONGS = SKETCH_BITS // 64
+#: Samples and bits of the finer sketches, made only for members that all others are tried against.
+FINE_SLOTS, FINE_BITS = 512, 2048
 
 _PROFILE = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
 _SETS = "doc_id long, shingles binary"
+_FINE = "id long, fine array<long>"
 
 
 def shingle_sets(words: blocks.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,15 +62,15 @@ def shingle_sets(words: blocks.Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return values, np.searchsorted(owner, np.arange(rows + 1))
 
 
-def minhashes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """SLOTS samples of every row with shingles, in row order."""
+def minhashes(values: np.ndarray, bounds: np.ndarray, slots: int = SLOTS) -> np.ndarray:
+    """`slots` samples of every row with shingles, in row order."""
     starts = bounds[:-1][np.diff(bounds) > 0]
-    out = np.empty((SLOTS, len(starts)), np.uint64)
+    out = np.empty((slots, len(starts)), np.uint64)
     if not len(starts):
         return out.T
-    factors = blocks.counted_hashes(SLOTS, 21) | np.uint64(1)
-    shifts = blocks.counted_hashes(SLOTS, 22)
-    for j in range(SLOTS):
+    factors = blocks.counted_hashes(slots, 21) | np.uint64(1)
+    shifts = blocks.counted_hashes(slots, 22)
+    for j in range(slots):
         # the high half of a product depends on all bits below it
         permuted = (values ^ shifts[j]) * factors[j]
         permuted ^= permuted >> np.uint64(32)
@@ -75,20 +78,24 @@ def minhashes(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def odd_sketches(samples: np.ndarray) -> np.ndarray:
+def odd_sketches(samples: np.ndarray, width: int = SKETCH_BITS) -> np.ndarray:
     """Parity bitmaps: every sample flips one bit that its slot and value choose."""
-    n = len(samples)
-    bits = (blocks.mix(samples + blocks.counted_hashes(SLOTS, 23)) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    odd = np.bincount((bits + np.arange(n)[:, None] * SKETCH_BITS).ravel(), minlength=n * SKETCH_BITS) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(n, SKETCH_BITS), axis=1).view(np.int64)
+    n, slots = samples.shape
+    bits = (blocks.mix(samples + blocks.counted_hashes(slots, 23)) % np.uint64(width)).astype(np.int64)
+    odd = np.bincount((bits + np.arange(n)[:, None] * width).ravel(), minlength=n * width) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(n, width), axis=1).view(np.int64)
 
 
-def most_odd_bits(similarity: float) -> int:
-    """XOR bits that a pair of at least this similarity exceeds with a chance below 1e-8."""
-    differ = (1 - similarity) * SLOTS
-    differ += 6 * np.sqrt(differ * similarity)
-    expected = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * differ))
-    return int(min(expected + 3 * np.sqrt(expected), SKETCH_BITS))
+def most_odd_bits(similarity: float, slots: int = SLOTS, width: int = SKETCH_BITS) -> int:
+    """XOR bits that a pair of at least this similarity stays within: six deviations over the mean.
+
+    The count varies with the samples that differ and with the flips that meet in one bit.
+    """
+    differ = (1 - similarity) * slots
+    even = (1 - 2 / width) ** (2 * differ)
+    from_samples = (2 * even) ** 2 * differ * similarity
+    from_meetings = 4 * (2 * differ) ** 2 / (2 * width)
+    return int(min(width / 2 * (1 - even) + 6 * np.sqrt(from_samples + from_meetings), width))
 
 
 def _lists(values: np.ndarray, has: np.ndarray) -> pa.Array:
@@ -135,6 +142,15 @@ def _full_sets(k: int):
     return run
 
 
+def _fine_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in blocks.slices(batch, "shingles"):
+            data, offsets = blocks.text_bytes(part.column("shingles"))
+            values, bounds = np.frombuffer(data.tobytes(), np.uint64), offsets // 8
+            bits = odd_sketches(minhashes(values, bounds, FINE_SLOTS), FINE_BITS)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(bits, np.diff(bounds) > 0)], names=["id", "fine"])
+
+
 def _confirmed(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,7 +167,12 @@ def _confirmed(percent: int):
 
 
 def _odd_bits(x: str, y: str):
-    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH_LONGS)), F.lit(0))
+    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+
+
+def _longs(bitmap: str, name: str, width: int) -> list[Column]:
+    """A bitmap as plain columns without nulls, so that a join condition over them stays small."""
+    return [F.coalesce(F.col(bitmap)[i], F.lit(0)).alias(f"{name}{i}") for i in range(width // 64)]
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -194,10 +215,17 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80) -> Data
     labelled = write_and_read(labelled, "labelled-members")
     open_ = labelled.where("c <> hc")
     open_bands = open_.select("band").distinct()
-    there = labelled.join(open_bands, "band", "left_semi").join(sketches, "id")
-    left = there.where("c <> hc").select("band", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("sketch").alias("sx"))
-    right = there.where("id IS NOT NULL").select("band", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("hc").alias("hy"), F.col("sketch").alias("sy"))
-    near = (left.band == right.band) & (left.cx != right.cy) & ((right.cy == right.hy) | (left.x < right.y)) & (_odd_bits("sx", "sy") <= limit)
+    there = write_and_read(labelled.join(open_bands, "band", "left_semi"), "open-members")
+    open_sets = full.join(there.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    fine = write_and_read(open_sets.mapInArrow(_fine_sketches, _FINE), "fine-sketches")
+    there = there.join(sketches, "id").join(fine, "id")
+    longs = [*_longs("sketch", "s", SKETCH_BITS), *_longs("fine", "f", FINE_BITS)]
+    left = there.where("c <> hc").select("band", F.col("id").alias("x"), F.col("c").alias("cx"), *longs)
+    right = there.select("band", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("hc").alias("hy"), *longs)
+    near = (left.band == right.band) & (left.cx != right.cy) & ((right.cy == right.hy) | (left.x < right.y))
+    for name, slots, width in (("s", SLOTS, SKETCH_BITS), ("f", FINE_SLOTS, FINE_BITS)):
+        odd = sum((F.bit_count(left[f"{name}{i}"].bitwiseXOR(right[f"{name}{i}"])) for i in range(width // 64)), F.lit(0))
+        near &= odd <= most_odd_bits(percent / 100, slots, width)
     crossing = left.join(right, near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     crossing = write_and_read(crossing.join(links, ["a", "b"], "left_anti").join(stars, ["a", "b"], "left_anti"), "crossing-pairs")
     joined = _confirm(crossing, full, percent)
