@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from passagework.llm import blocks, packing, pii, quality, sharding, suffix_array
+from passagework.llm import blocks, near_dedup, packing, pii, quality, sharding, suffix_array
 from passagework.llm.components import smallest_reachable
 
 
@@ -152,3 +152,18 @@ def test_gradients():
         down = loss()
         model.p[name][at] += 1e-5
         assert abs((up - down) / 2e-5 - slope[at]) < 1e-4
+
+
+@pytest.mark.parametrize(("slots", "width"), [(near_dedup.SLOTS, near_dedup.SKETCH_BITS), (near_dedup.FINE_SLOTS, near_dedup.FINE_BITS)])
+def test_odd_sketches_keep_similar_sets(slots, width):
+    r = np.random.default_rng(8)
+    limit = near_dedup.most_odd_bits(0.8, slots, width)
+    sets = [r.integers(0, 1 << 63, 180, dtype=np.uint64) for _ in range(300)]
+    pairs = [(s[:90], np.concatenate([s[:80], s[170:180]])) for s in sets]  # 80 of 100 shared
+    apart = [(s[:90], s[45:135]) for s in sets]  # a third shared
+    for group, near in ((pairs, True), (apart, False)):
+        flat = [np.sort(x) for pair in group for x in pair]
+        samples = near_dedup.minhashes(np.concatenate(flat), np.cumsum([0, *map(len, flat)]), slots)
+        bits = near_dedup.odd_sketches(samples, width).view(np.uint64)
+        odd = np.bitwise_count(bits[0::2] ^ bits[1::2]).sum(axis=1)
+        assert np.all(odd <= limit) if near else np.mean(odd > limit) > 0.9
