@@ -31,3 +31,15 @@ def fk_violations(chunks: DataFrame, articles: DataFrame) -> DataFrame:
     )
     known = articles.select(F.col("id").alias("article_id"))
     return used.join(known, "article_id", "left_anti")
+
+
+def chunk_constraint_report(chunks: DataFrame, articles: DataFrame, dim: int = fixed.VECTOR_DIM) -> DataFrame:
+    """Violation counts of the chunk table; `orphans` are chunks whose article does not exist."""
+    vector = F.col("content_chunk_vector")
+    orphans = fk_violations(chunks, articles).agg(F.coalesce(F.sum("n_chunks"), F.lit(0)).alias("n"))
+    return chunks.agg(
+        F.count_if(F.col("chunk_id").isNull()).alias("null_ids"),
+        (F.count("chunk_id") - F.count_distinct("chunk_id")).alias("duplicate_ids"),
+        F.count_if(vector.isNotNull() & (F.size(vector) != dim)).alias("wrong_vectors"),
+        F.lit(orphans.first()["n"]).cast("bigint").alias("orphans"),
+    )

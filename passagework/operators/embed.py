@@ -33,6 +33,12 @@ def _ask(provider: Provider, texts: list[str]) -> list[dict]:
         return [{"vector": None, "error": f"{type(problem).__name__}: {problem}"}] * len(texts)
 
 
+def _ask_all(provider: Provider, texts: list[str]) -> list[dict]:
+    """All texts, in requests of up to `provider.batch_size`."""
+    size = provider.batch_size
+    return [r for start in range(0, len(texts), size) for r in _ask(provider, texts[start : start + size])]
+
+
 def embedder(provider: Provider):
     """A UDF: text to vector or error. Requests hold up to `provider.batch_size` texts.
 
@@ -45,10 +51,8 @@ def embedder(provider: Provider):
             texts = batch.to_pylist()
             out: list[dict | None] = [None] * len(texts)
             present = [i for i, text in enumerate(texts) if text is not None]
-            for start in range(0, len(present), provider.batch_size):
-                places = present[start : start + provider.batch_size]
-                for place, result in zip(places, _ask(provider, [texts[i] for i in places])):
-                    out[place] = result
+            for place, result in zip(present, _ask_all(provider, [texts[i] for i in present])):
+                out[place] = result
             yield pa.array(out, type=ARROW_RESULT)
 
     return embed_batches.asNondeterministic()
@@ -84,13 +88,23 @@ def chunk_and_embed(
     """
     cut = chunk_documents(articles, id_col=id_col, text_col=text_col, budget=budget, count=count)
 
-    def settle(text: str, tokens: int, result: dict) -> list[dict]:
-        if result["error"] != fixed.TOO_LONG:
-            return [{"part_no": 0, "text": text, "n_tokens": tokens, **result}]
-        return [
-            {"part_no": part, "text": piece, "n_tokens": size, **_ask(provider, [piece])[0]}
-            for part, piece, size in chunking.chunks(text, budget // 2, count)
+    def settle(texts: list[str], tokens: list[int]) -> list[list[dict]]:
+        """One list of parts for each text; the pieces of all too long ones are asked together."""
+        results = _ask_all(provider, texts)
+        pieces = [
+            (row, *cut_again)
+            for row, result in enumerate(results)
+            if result["error"] == fixed.TOO_LONG
+            for cut_again in chunking.chunks(texts[row], budget // 2, count)
+        ]
+        parts: list[list[dict]] = [
+            [] if result["error"] == fixed.TOO_LONG else [{"part_no": 0, "text": text, "n_tokens": n, **result}]
+            for text, n, result in zip(texts, tokens, results)
         ]
+        answers = _ask_all(provider, [piece for _, _, piece, _ in pieces])
+        for (row, part, piece, size), answer in zip(pieces, answers):
+            parts[row].append({"part_no": part, "text": piece, "n_tokens": size, **answer})
+        return parts
 
     arrow = pa.list_(
         pa.struct(
@@ -107,13 +121,7 @@ def chunk_and_embed(
     @F.arrow_udf(EMBEDDED_TYPE)
     def embed_chunks(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, tokens in batches:
-            texts, tokens = texts.to_pylist(), tokens.to_pylist()
-            rows = []
-            for start in range(0, len(texts), provider.batch_size):
-                span = slice(start, start + provider.batch_size)
-                results = _ask(provider, texts[span])
-                rows += [settle(*row) for row in zip(texts[span], tokens[span], results)]
-            yield pa.array(rows, type=arrow)
+            yield pa.array(settle(texts.to_pylist(), tokens.to_pylist()), type=arrow)
 
     embed_once = embed_chunks.asNondeterministic()
     done = cut.select(
@@ -142,9 +150,17 @@ def fill_title_vectors(articles: DataFrame, provider: Provider) -> DataFrame:
 
 
 def attach_title_vectors(articles: DataFrame, vectors: DataFrame) -> DataFrame:
-    """New snapshot of `articles` with `(id, vector)` put in by key; other rows keep theirs."""
-    fresh = vectors.where(F.col("vector").isNotNull()).select(
-        F.col("id"), F.col("vector").alias("_fresh")
+    """New snapshot of `articles` with `(id, vector)` put in by key; other rows keep theirs.
+
+    An id with more than one vector fails the job: its article would be stored twice. The
+    test groups by the join's own key, so it adds no shuffle and reads `vectors` once.
+    """
+    several = F.raise_error(F.concat(F.lit("more than one vector for id "), F.col("id").cast("string")))
+    fresh = (
+        vectors.where(F.col("vector").isNotNull())
+        .groupBy("id")
+        .agg(F.first("vector").alias("_one"), F.count("*").alias("_n"))
+        .select("id", F.when(F.col("_n") > 1, several.cast("array<float>")).otherwise(F.col("_one")).alias("_fresh"))
     )
     joined = articles.join(fresh, "id", "left")
     merged = F.coalesce("_fresh", "title_vector").alias("title_vector")

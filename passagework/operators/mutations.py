@@ -13,7 +13,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from passagework.operators.ingest import next_serial, with_serial
 from passagework.operators.predicates import predicate
+from passagework.session import write_and_read
 from passagework.sources.sinks import conform
 
 
@@ -37,9 +39,39 @@ def _require(rows: DataFrame, check: Mapping | None) -> None:
         raise CheckFailed(f"rows break {dict(check)}")
 
 
-def insert(table: DataFrame, objects: DataFrame, post_check: Mapping | None = None) -> Mutation:
-    """Add all objects, or none when one breaks `post_check`."""
+def _keyed(table: DataFrame, objects: DataFrame, key: str) -> DataFrame:
+    """`objects` with numbers above all others for those that have none; no number twice."""
+    rows = write_and_read(objects.withColumn("_row", F.monotonically_increasing_id().cast("string")), "objects")
+    start = max(next_serial(table, key), next_serial(rows, key))
+    numbers = with_serial(rows.where(F.col(key).isNull()).select("_row"), "_row", start, "_number")
+    kind = table.schema[key].dataType
+    keyed = rows.join(numbers, "_row", "left").withColumn(key, F.coalesce(key, F.col("_number").cast(kind)))
+    given = rows.where(F.col(key).isNotNull()).select(key)
+    if not given.groupBy(key).count().where("count > 1").isEmpty():
+        raise CheckFailed(f"{key!r} is given more than once")
+    if not table.select(key).join(given, key, "left_semi").isEmpty():
+        raise CheckFailed(f"{key!r} is stored already")
+    return keyed.select(*table.columns)
+
+
+def insert(
+    table: DataFrame,
+    objects: DataFrame,
+    post_check: Mapping | None = None,
+    *,
+    key: str | None = None,
+    required: tuple[str, ...] = (),
+) -> Mutation:
+    """Add all objects, or none when one breaks `post_check`.
+
+    With `key`, that column is unique and never NULL: objects without it get the next numbers,
+    and one that is stored already or given twice breaks the insert, like a NULL in `required`.
+    """
     aligned = conform(objects, table.schema)
+    if key:
+        aligned = _keyed(table, aligned, key)
+    if required:
+        _require(aligned, {"_and": [{name: {"_is_null": False}} for name in required]})
     _require(aligned, post_check)
     return Mutation(table.unionByName(aligned), aligned.count(), aligned)
 

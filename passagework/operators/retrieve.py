@@ -23,6 +23,8 @@ CORPUS_BLOCK_BYTES = 64 << 20
 QUERY_BLOCK_BYTES = 256 << 20
 # Hits joined back to their text are broadcast up to this many rows.
 MAX_BROADCAST_HITS = 200_000
+# Ids of one query's hits that may stand in a scan's filter.
+MAX_FETCHED_HITS = 1_000
 
 # Hits of one query are merged in this many groups first.
 MERGE_GROUPS = 32
@@ -120,17 +122,18 @@ def _scan_block_pairs(
     )
 
 
-def _merge(found: DataFrame) -> DataFrame:
+def _merge(found: DataFrame, most: int) -> DataFrame:
     """The tasks' candidates to final ranks, in two steps.
 
     A query has candidates from every task; they are first cut to `k` in
-    groups by id, so that no task sorts all of them at once.
+    groups by id, so that no task sorts all of them at once. The greatest `k`
+    as a literal lets Spark trim every task's rows before each shuffle.
     """
     group = F.pmod("id", F.lit(MERGE_GROUPS))
     for keys in (["qid", group], ["qid"]):
         order = Window.partitionBy(*keys).orderBy(F.desc("similarity"), "id")
         found = found.withColumn("rank", F.row_number().over(order)).where(
-            F.col("rank") <= F.col("k")
+            (F.col("rank") <= most) & (F.col("rank") <= F.col("k"))
         )
     return found.drop("k")
 
@@ -171,11 +174,13 @@ def nearest(
     dim = len(sent.column("v")[0])
     if sent.num_rows <= max_sent_queries:
         found = _scan_with_sent_queries(corpus, sent, dim, schema)
-        return Hits(_merge(found), sum(sent.column("k").to_pylist()))
+        limits = sent.column("k").to_pylist()
+        return Hits(_merge(found, max(limits)), sum(limits))
     # stored, so that counting, scoring and retries do not embed the queries again
     queries = write_and_read(queries, "queries")
     block_rows = query_block_rows or max(1, QUERY_BLOCK_BYTES // (8 * dim))
-    return Hits(_merge(_scan_block_pairs(corpus, queries, dim, block_rows, schema)), None)
+    most = queries.agg(F.max("k").alias("most")).first()["most"]
+    return Hits(_merge(_scan_block_pairs(corpus, queries, dim, block_rows, schema), most), None)
 
 
 def with_payload(
@@ -216,7 +221,9 @@ def search_one(
     """Top-k of a single query vector, best first: `(id, *payload, similarity)`.
 
     One query needs no grouping: every task's best rows meet in one ordered
-    limit, which keeps `k` rows in memory however many tasks there are.
+    limit, which keeps `k` rows in memory however many tasks there are. Few hits
+    are fetched, and their ids filter the second scan, which then reads text only
+    from the row groups that can hold them.
     """
     sent = pa.table({"qid": pa.array([0]), "v": [list(map(float, vector))], "k": pa.array([k])})
     best_first = [F.desc("similarity"), F.asc("id")]
@@ -225,6 +232,10 @@ def search_one(
     )
     hits = found.orderBy(*best_first).limit(k).select("id", "similarity")
     texts = corpus.select(F.col(id_col).alias("id"), *payload)
+    if k <= MAX_FETCHED_HITS:
+        fetched = hits.toArrow()
+        texts = texts.where(F.col("id").isin(fetched.column("id").to_pylist()))
+        hits = corpus.sparkSession.createDataFrame(fetched)
     hits = F.broadcast(hits) if k <= MAX_BROADCAST_HITS else hits
     return texts.join(hits, "id").select("id", *payload, "similarity").orderBy(*best_first)
 

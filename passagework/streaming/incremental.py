@@ -10,24 +10,25 @@ from passagework import fixed, schemas
 from passagework.operators.chunk import chunk_documents
 from passagework.operators.extract import extract_pages
 from passagework.operators.ingest import article_rows, first_pages
-
+from passagework.session import write_and_read
 
 ARTICLE_COLUMNS = "page_id bigint, url string, title string, content string, batch_id bigint"
 CHUNK_COLUMNS = (
     "article_id bigint, chunk_no int, content_chunk string, n_tokens bigint, batch_id bigint"
 )
+REJECT_COLUMNS = "page_id bigint, url string, status string, error string, batch_id bigint"
+TABLES = {"articles": ARTICLE_COLUMNS, "chunks": CHUNK_COLUMNS, "rejects": REJECT_COLUMNS}
 
 
 def stored(spark: SparkSession, target: str, table: str) -> DataFrame:
     """What the ingest has written so far; empty before the first batch."""
-    columns = {"articles": ARTICLE_COLUMNS, "chunks": CHUNK_COLUMNS}[table]
     # the folder is partitioned by batch_id; an empty first file set is made by `start`
-    return spark.read.schema(columns).parquet(f"{target}/{table}")
+    return spark.read.schema(TABLES[table]).parquet(f"{target}/{table}")
 
 
 def _prepare(spark: SparkSession, target: str) -> None:
-    """Make both table folders readable before any batch has been written."""
-    for table, columns in (("articles", ARTICLE_COLUMNS), ("chunks", CHUNK_COLUMNS)):
+    """Make all table folders readable before any batch has been written."""
+    for table, columns in TABLES.items():
         empty = spark.createDataFrame([], columns)
         empty.write.mode("append").partitionBy("batch_id").parquet(f"{target}/{table}")
 
@@ -48,7 +49,8 @@ def start(
     The stream's checkpoint under `target` is the resume point. Each batch
     writes its own `batch_id` folder with overwrite, so a batch repeated after
     a failure replaces its earlier output, and URLs stored by other batches
-    are left out by an anti-join.
+    are left out by an anti-join. Pages that cannot be stored go to `rejects`
+    with the reason.
     """
     _prepare(spark, target)
     reader = spark.readStream.schema(schemas.PAGES)
@@ -62,11 +64,15 @@ def start(
         known = stored(session, target, "articles").where(F.col("batch_id") != batch_id)
         fresh = first_pages(batch).join(known.select("url"), "url", "left_anti")
         wanted = batch.join(fresh, ["url", "page_id"], "left_semi")
-        rows = article_rows(extract_pages(wanted, root_id=root_id, root_tag=root_tag))
+        # stored, so that articles and rejects come from one extraction
+        rows = write_and_read(article_rows(extract_pages(wanted, root_id=root_id, root_tag=root_tag)), "extracted")
         articles = f"{target}/articles/batch_id={batch_id}"
         rows.where(F.col("status") == "processed").select(
             "page_id", "url", "title", "content"
         ).write.mode("overwrite").parquet(articles)
+        rows.where(F.col("status") != "processed").select(
+            "page_id", "url", "status", "error"
+        ).write.mode("overwrite").parquet(f"{target}/rejects/batch_id={batch_id}")
         written = session.read.parquet(articles)
         chunk_documents(written, id_col="page_id", budget=budget).write.mode("overwrite").parquet(
             f"{target}/chunks/batch_id={batch_id}"

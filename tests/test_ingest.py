@@ -219,3 +219,22 @@ def test_incremental_ingest_adds_new_urls_once(spark):
 def test_wikitext_column(spark):
     df = spark.createDataFrame([("'''a'''",), (None,)], "raw string")
     assert [r.content for r in extract.clean_wikitext(df, "raw").collect()] == ["a", None]
+
+
+def test_incremental_ingest_keeps_its_rejects(spark):
+    pages, target = new_path(spark, "pages"), new_path(spark, "sink")
+    rows = [(1, "https://x/a", page("one")), (2, "https://x/b", "<p>no root"), (3, "https://x/" + "t" * 256, page("long"))]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(pages)
+    incremental.run(spark, pages, target)
+    rejects = incremental.stored(spark, target, "rejects").orderBy("page_id").collect()
+    assert [(r.page_id, r.status, r.batch_id) for r in rejects] == [(2, "no content", 0), (3, "error", 0)]
+
+
+def test_chunk_constraints(spark):
+    chunks = spark.createDataFrame(
+        [(1, 1, [1.0, 2.0]), (1, 9, [1.0]), (None, 9, None), (4, None, None)],
+        "chunk_id long, article_id long, content_chunk_vector array<float>",
+    )
+    articles = spark.createDataFrame([(1,)], "id long")
+    report = constraints.chunk_constraint_report(chunks, articles, 2).first().asDict()
+    assert report == {"null_ids": 1, "duplicate_ids": 1, "wrong_vectors": 1, "orphans": 2}

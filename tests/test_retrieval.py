@@ -336,3 +336,23 @@ def test_vectors_that_are_no_numbers_take_no_part():
     assert sorted(top.ids) == [2, 3]
     with pytest.raises(ValueError):
         matrix(pa.array([[1.0, 2.0, 3.0], [4.0]]), 2)
+
+
+def test_two_vectors_for_one_article_are_refused(spark):
+    articles = spark.createDataFrame([(1, "a", None)], "id int, title string, title_vector array<float>")
+    vectors = spark.createDataFrame([(1, [1.0]), (1, [2.0])], "id int, vector array<float>")
+    with pytest.raises(Exception, match="more than one vector for id 1"):
+        embed.attach_title_vectors(articles, vectors).collect()
+
+
+def test_one_query_sends_its_ids_to_the_scan(spark, sf, plan):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("v", F.array(F.col("doc_id").cast("float")))
+    found = retrieve.search_one(docs, [1.0], 3, id_col="doc_id", vector_col="v", payload=("text",))
+    assert "PushedFilters: [" in plan(found) and "In(doc_id" in plan(found)
+    top = sorted((r.doc_id for r in docs.select("doc_id").collect()), reverse=True)[:3]
+    assert [r.id for r in found.collect()] == top
+
+
+def test_candidates_are_trimmed_before_the_shuffle(spark, plan):
+    _, _, c, q = make(spark, n=40, n_queries=3)
+    assert "row_number(), 6, Partial" in plan(retrieve.nearest(c, q, 6, id_col="id", vector_col="v").rows)

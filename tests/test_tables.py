@@ -219,3 +219,14 @@ def test_prompt_budget(spark):
     assert [(r.n_tokens, r.total_tokens, r.status) for r in out] == [
         (2, 2, "ok"), (3, 5, "prompt is too long"),
     ]
+
+
+def test_insert_with_a_key(spark, rows):
+    new = spark.createDataFrame([(None, "six"), (None, "seven"), (9, "nine")], "id int, name string")
+    done = mutations.insert(rows, new, key="id", required=("name",))
+    assert sorted((r.id, r.name) for r in done.returning.collect())[0] == (9, "nine")
+    assert sorted(r.id for r in done.returning.collect()) == [9, 10, 11]
+    assert done.table.count() == done.table.select("id").distinct().count() == 8
+    for bad in ([(1, "stored")], [(7, "twice"), (7, "twice")], [(7, None)]):
+        with pytest.raises(mutations.CheckFailed):
+            mutations.insert(rows, spark.createDataFrame(bad, "id int, name string"), key="id", required=("name",))

@@ -241,6 +241,19 @@ def fk_violations(spark, sf):
     return constraints.fk_violations(views.chunks(spark, sf), labelled)
 
 
+@query(
+    f"""WITH {sql.CHUNKS}
+    SELECT count_if(chunk_id IS NULL)::BIGINT AS null_ids, count(chunk_id) - count(DISTINCT chunk_id) AS duplicate_ids,
+           count_if(len(content_chunk_vector) <> {fixed.VECTOR_DIM})::BIGINT AS wrong_vectors,
+           count_if(l.doc_id IS NULL)::BIGINT AS orphans
+    FROM chunks LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = article_id"""
+)
+def constraint_report_chunks(spark, sf):
+    """Checked against the labelled documents, so that some references are broken."""
+    labelled = views.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
+    return constraints.chunk_constraint_report(views.chunks(spark, sf), labelled)
+
+
 @query(
     f"""WITH {sql.ARTICLES}, {sql.CHUNKS}
     SELECT id, title, content FROM articles

@@ -346,6 +346,24 @@ def mutate_update(spark, sf):
     ).table
 
 
+ONE_ID = 7
+
+
+@query(
+    f"""WITH {sql.ARTICLES}
+    SELECT id, CASE WHEN id = {ONE_ID} THEN 'renamed' ELSE title END AS title,
+           CASE WHEN id <> {ONE_ID} THEN content END AS content FROM articles"""
+)
+def mutate_update_by_id(spark, sf):
+    changes = {"title": "renamed", "content": None}
+    return mutations.update_by_id(_articles(spark, sf), ONE_ID, changes).table
+
+
+@query(f"WITH {sql.ARTICLES} SELECT id, title, content FROM articles WHERE id <> {ONE_ID}")
+def mutate_delete_by_id(spark, sf):
+    return mutations.delete_by_id(_articles(spark, sf), ONE_ID).table
+
+
 DELETE_SQL = """FROM documents WHERE {} (doc_id IN (SELECT doc_id FROM labels) AND lang = 'en')"""
 
 
