@@ -243,38 +243,54 @@ def all_identifiers(text: str, disguised: bool = True) -> tuple[list, list]:
 
 @cache
 def _sign_hashes() -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the digits' names, and of words for dots, as words of a text."""
+    """Hashes of the last ASCII parts of the digits' names, and of numerals and the names' other parts."""
 
     def of(words: list[str]) -> np.ndarray:
         data, offsets = blocks.text_bytes(pa.array(words))
         return np.sort(blocks.Words(data, offsets, blocks.alphanumeric()).hashes())
 
-    return of(list(DIGIT_WORDS)), of(["dot", "punkt", "punto", "point"])
+    parts = [re.findall("[a-z]+", name) for name in DIGIT_WORDS]
+    return of([p[-1] for p in parts]), of([*"0123456789", *{x for p in parts for x in p[:-1]}])
 
 
 def signs(part: pa.RecordBatch) -> np.ndarray:
-    """Which texts may hold a disguise: spelled digits in a row, words or brackets for dots."""
+    """Which texts may hold spelled digits: `DIGIT_RUN` names with nothing but names and numerals between.
+
+    All texts where `_SPELLED` finds as many names: its runs are names and single numerals with no
+    letter or digit between. Words are runs of ASCII letters and digits here, since quotes and the
+    like may touch a name, so a name counts by its last part ("nf" of "fünf") and others go along.
+    """
     data, offsets = blocks.text_bytes(part.column("text"))
-    words = blocks.Words(blocks.lowered()[data], offsets, blocks.alphanumeric())
+    ascii_words = blocks.alphanumeric() & (np.arange(256) < 128)
+    words = blocks.Words(blocks.lowered()[data], offsets, ascii_words)
     hashes, row = words.hashes(), np.repeat(np.arange(part.num_rows), words.counts)
-    digit, dot = (np.isin(hashes, h) for h in _sign_hashes())
+    name, between = (np.isin(hashes, h) for h in _sign_hashes())
+    either = name | between
+    begins = either.copy()
+    begins[1:] &= ~either[:-1] | (row[1:] != row[:-1])
+    run = np.cumsum(begins)
+    long_ = np.bincount(run[name], minlength=run[-1] + 1 if len(run) else 1) >= DIGIT_RUN
     out = np.zeros(part.num_rows, bool)
-    out[row[dot]] = True
-    run = digit.copy()
-    for k in range(1, DIGIT_RUN):
-        run[:-k] &= digit[k:] & (row[k:] == row[:-k])
-        run[-k:] = False
-    out[row[run]] = True
+    out[row[either & long_[run]]] = True
     return out
 
 
 def needs_rewriting(text: str) -> bool:
-    """Signs of disguise that single characters give."""
+    """Whether a rule of `revealed` other than the spelled digits' applies to the text as it is.
+
+    The first rule that applies meets the text unchanged, so where this and `signs` are false
+    `revealed` changes nothing.
+    """
     if not text.isascii() and any(plain(c) is not None for c in set(text) if not c.isascii()):
         return True
-    if "@" in text and (" @" in text or "@ " in text):
+    if _BRACKET_SIGN.search(text) or _AT_PLAIN.search(text):
+        return True
+    digit, at = _DIGIT.search(text), "@" in text
+    if digit and (_PLUS.search(text) or any(not m[0].isdigit() for m in _DIGIT_LIKE.finditer(text))):
+        return True
+    if (digit or at) and _DOT_PLAIN.search(text):
         return True
-    return _BRACKET_SIGN.search(text) is not None or ("_dot_" in text or "-dot-" in text) or bool(_DIGIT.search(text) and any(m[0] for m in _DIGIT_LIKE.finditer(text) if not m[0].isdigit()))
+    return at and bool(_AT_SPACED.search(text) or _DOT_SPACED.search(text))
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
