@@ -6,6 +6,8 @@ the source characters it stands for: homoglyphs, wide and invisible characters b
 ones, spelled digits become digits (in runs of `DIGIT_RUN` words at least), "(at)", "[dot]",
 " at ", " dot " and the like become @ and dots where an address can be. What is found there
 and does not overlap what the text itself had of that kind is added, mapped back to the source.
+An email written with white space but without any bracketed sign may be plain words: it needs an
+ending of two letters (no short word) or one of `LONG_ENDINGS`.
 
 Null and empty texts have no spans. Rows with an equal doc_id are searched one by one.
 Columns other than doc_id and text are ignored.
@@ -150,16 +152,21 @@ class Rewritten:
         self.text = text
         self.first = list(range(len(text)))
         self.last = [i + 1 for i in self.first]
+        self.bracketed: list[int] = []  # where in the source a bracketed sign began
 
-    def replace(self, pattern: re.Pattern, by) -> None:
-        """Every match gives way to `by(match)`; a match is left alone where that is None."""
-        out, first, last, at = [], [], [], 0
+    def replace(self, pattern: re.Pattern, by) -> list[int]:
+        """Every match gives way to `by(match)`; a match is left alone where that is None.
+
+        Gives the source positions where the replaced matches began.
+        """
+        out, first, last, begins, at = [], [], [], [], 0
         for m in pattern.finditer(self.text):
             new = by(m)
             a, b = m.span()
             if new is None or a == b:
                 continue
             out += (self.text[at:a], new)
+            begins.append(self.first[a])
             first += self.first[at:a] + [self.first[a]] * len(new)
             last += self.last[at:a] + [self.last[b - 1]] * len(new)
             at = b
@@ -167,6 +174,7 @@ class Rewritten:
             self.text = "".join(out) + self.text[at:]
             self.first = first + self.first[at:]
             self.last = last + self.last[at:]
+        return begins
 
     def replace_chars(self) -> None:
         changed = [(i, p) for i, c in enumerate(self.text) if not c.isascii() and (p := plain(c)) is not None]
@@ -208,8 +216,8 @@ def revealed(text: str) -> Rewritten:
     out.spell_digits()
     out.replace(_PLUS, lambda m: "+")
     out.replace(_DIGIT_LIKE, lambda m: None if m[0].isdigit() else m[0].replace("O", "0").replace("o", "0").replace("I", "1").replace("l", "1"))
-    out.replace(_AT_BRACKET, lambda m: "@")
-    out.replace(_DOT_BRACKET, lambda m: ".")
+    out.bracketed += out.replace(_AT_BRACKET, lambda m: "@")
+    out.bracketed += out.replace(_DOT_BRACKET, lambda m: ".")
     out.replace(_AT_PLAIN, lambda m: "@")
     if "@" in out.text or _DIGIT.search(out.text):
         out.replace(_DOT_PLAIN, lambda m: ".")
@@ -235,7 +243,8 @@ def all_identifiers(text: str, disguised: bool = True) -> tuple[list, list]:
     for a, kind, b in identifiers(out.text):
         start, end = out.first[a], out.last[b - 1]
         if kind == 0 and re.search(r"\s", text[start:end]) and not _is_ending(out.text[a:b].rpartition(".")[2].lower()):
-            continue  # plain words that happen to have an at and a dot among them
+            if not any(start <= x < end for x in out.bracketed):
+                continue  # plain words that happen to have an at and a dot among them
         if not any(k == kind and x < end and start < y for x, k, y in base):
             added.append((start, kind, end))
     return base, sorted(base + added)

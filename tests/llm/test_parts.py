@@ -129,6 +129,24 @@ def test_gate_lets_lone_disguises_through(text):
     assert pii.all_identifiers(text, gate(text)) == pii.all_identifiers(text, True)
 
 
+@pytest.mark.parametrize(
+    "address",
+    [
+        "jane (at) mail (dot) online", "jane [at] firm [dot] tech", "jane {at} art (dot) museum", "jane at firm [dot] tech", "jane (at) firm dot tech",
+        "jane（at）mail （dot） online", "jane (at) my.firm.online", "jane @ firm (dot) tech",
+    ],
+)
+def test_bracketed_addresses_have_any_ending(address):
+    for text in (address, f"Write to {address}, or call."):
+        start = text.index(address)
+        assert pii.all_identifiers(text, gate(text))[1] == [(start, 0, start + len(address))]
+
+
+def test_plain_words_need_an_ending():
+    for text in ("look at it dot now", "meet at noon.Then (at) last", "he was at home dot nobody saw"):
+        assert pii.all_identifiers(text)[1] == []
+
+
 def test_gate_misses_nothing():
     r = random.Random(12)
     pool = [
