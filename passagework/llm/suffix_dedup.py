@@ -8,7 +8,10 @@ with a smaller doc_id; documents are judged as they came in, matches stay inside
    are dealt into buckets as compact arrays, and a bucket tells which runs have a minimizer
    that two documents share. Everything else occurs once and is out.
 2. The texts of documents with such runs are read again, and the runs' bytes go to shards by
-   minimizer, about `SHARD_BYTES` each, every different piece once.
+   minimizer, about `SHARD_BYTES` each, every different piece once. Runs that reach from a
+   common passage into the text around it differ in every document, so minimizers with more
+   than `HOT_BYTES` of different runs, judged by a sample, have their strings dealt one by one,
+   by a hash of the string. Equal strings meet in both cases.
 3. Every shard builds its suffix array by induced sorting and the permuted common prefixes;
    neighbours with `length` bytes in common are one group of strings, whose smallest doc_id
    decides. The removed ranges are then cut out of the documents.
@@ -43,10 +46,14 @@ CHUNK_DOCS = 60_000
 BUCKET_RUNS = 1_500_000
 CHUNK_PIECES = 150_000
 SHARD_BYTES = 1 << 20
+#: Different runs of one minimizer that may go to one shard, and one in how many texts is asked for them.
+HOT_BYTES = SHARD_BYTES // 4
+HOT_SAMPLE = 16
 
 _RUNS = "bucket long, docs binary, keys binary, owners binary, ordinals binary, shared binary"
 _SHARED_PACKED = "doc_group long, docs binary, ordinals binary"
 _SHARED = "doc_id long, ordinals binary"
+_SEEN = "key long, piece long"
 _PIECES = "shard long, doc_id long, row_hash long, ranges binary, pieces binary, sizes binary, docs binary, hashes binary, starts binary, which binary"
 _RANGES = "doc_id long, row_hash long, ranges binary"
 _CUT = "doc_id long, row_hash long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -204,9 +211,53 @@ def _unpressed(x: bytes) -> bytes:
     return pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True)
 
 
-def _send_pieces(length: int, shards: int):
+def _ranges(first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The numbers from every `first` up to its `stop`."""
+    sizes = stop - first
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(first - before, sizes) + np.arange(sizes.sum())
+
+
+def _chosen(lists: bytes, begin: int, end: int) -> np.ndarray:
+    """A text's marked runs, of those from `begin` to `end`."""
+    ordinals = np.unique(np.frombuffer(lists, np.uint32)).astype(np.int64)
+    return begin + ordinals[ordinals < end - begin]
+
+
+def _see_runs(length: int):
+    """Minimizer and hash of every marked run, different ones once a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks.slices(batch, "text"):
+                data, offsets = blocks.text_bytes(part.column("text"))
+                keys, first, stop, rows = string_runs(data, offsets, length)
+                bounds = np.searchsorted(rows, np.arange(part.num_rows + 1))
+                chosen = np.concatenate([_chosen(x, bounds[i], bounds[i + 1]) for i, x in enumerate(part.column("ordinals").to_pylist())])
+                pieces = blocks.span_hashes(data, first[chosen], stop[chosen] + length - 1)
+                pairs = np.unique(np.stack([keys[chosen], pieces], axis=1).astype(np.uint64), axis=0).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["key", "piece"])
+
+    return run
+
+
+def _hot_keys(marked: DataFrame, length: int) -> tuple[np.ndarray, int]:
+    """Minimizers with too many different runs for a shard, in order, and about how many runs they have.
+
+    Only the balance of the shards depends on the sample. There is less than one such minimizer
+    for every `HOT_BYTES` of runs.
+    """
+    sample = marked.where(F.pmod(F.xxhash64("doc_id", "row_hash"), F.lit(HOT_SAMPLE)) == 0)
+    seen = sample.mapInArrow(_see_runs(length), _SEEN).distinct().groupBy("key").count()
+    bytes_each = length + (length - GRAM) // 2
+    hot = seen.where(F.col("count") * F.lit(HOT_SAMPLE * bytes_each) > HOT_BYTES).collect()
+    return np.sort(np.array([r["key"] for r in hot], np.int64).view(np.uint64)), sum(r["count"] for r in hot) * HOT_SAMPLE
+
+
+def _send_pieces(length: int, shards: int, hot: np.ndarray):
     """The marked runs' bytes, each different piece once a chunk, dealt to shards by minimizer.
 
+    Runs of a minimizer in `hot` are cut into their strings, each dealt by its own hash.
     Of a piece that several documents of the chunk have, the smallest doc_id's goes on; in the
     others the piece is removed, which is sent as ranges in rows without a piece.
     """
@@ -241,13 +292,23 @@ def _send_pieces(length: int, shards: int):
                 keys, first, stop, rows = string_runs(data, offsets, length)
                 raw, bounds = data.tobytes(), np.searchsorted(rows, np.arange(part.num_rows + 1))
                 shard_of = (blocks.mix(keys) % np.uint64(shards)).astype(np.int64)
+                is_hot = np.isin(keys, hot)
+                if is_hot.any():
+                    hot_at = _ranges(first[is_hot], stop[is_hot])
+                    hot_shard = (blocks.mix(blocks.span_hashes(data, hot_at, hot_at + length)) % np.uint64(shards)).astype(np.int64)
+                else:
+                    hot_at = hot_shard = np.empty(0, np.int64)
                 columns = (part.column(c).to_pylist() for c in ("doc_id", "row_hash", "ordinals"))
                 for i, (doc, row_hash, lists) in enumerate(zip(*columns)):
-                    chosen = np.unique(np.frombuffer(lists, np.uint32)).astype(np.int64)
-                    chosen = bounds[i] + chosen[chosen < bounds[i + 1] - bounds[i]]
-                    seen += len(chosen)
+                    chosen = _chosen(lists, bounds[i], bounds[i + 1])
+                    cut = is_hot[chosen]
+                    whole, cut = chosen[~cut], chosen[cut]
+                    singles = _ranges(first[cut], stop[cut])
+                    begins = np.concatenate([first[whole], singles])
+                    ends = np.concatenate([stop[whole] + length - 1, singles + length])
+                    seen += len(begins)
                     begin = int(offsets[i])
-                    for a, b, shard in zip(first[chosen].tolist(), (stop[chosen] + length - 1).tolist(), shard_of[chosen].tolist()):
+                    for a, b, shard in zip(begins.tolist(), ends.tolist(), np.concatenate([shard_of[whole], hot_shard[np.searchsorted(hot_at, singles)]]).tolist()):
                         piece = raw[a:b]
                         old = pieces.get(piece)
                         if old is None:
@@ -393,8 +454,10 @@ def removed_ranges(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     marked = write_and_read(texts.join(shared, "doc_id"), "shared-texts")
     runs_marked = marked.agg(F.sum(F.octet_length("ordinals"))).first()[0] or 0
     # 4 bytes name a run, whose piece has as many bytes as strings, and length - 1 more
-    shards = max(1, -(-(runs_marked // 4) * (length + (length - GRAM) // 2) // SHARD_BYTES))
-    pieces = marked.mapInArrow(_send_pieces(length, shards), _PIECES)
+    hot, hot_runs = _hot_keys(marked, length)
+    strings_each = (length - GRAM) // 2 + 1
+    shards = max(1, -(-((runs_marked // 4) * (length + strings_each - 1) + hot_runs * strings_each * length) // SHARD_BYTES))
+    pieces = marked.mapInArrow(_send_pieces(length, shards, hot), _PIECES)
     ranges = pieces.groupBy("shard").applyInArrow(_judge_shard(length), _RANGES)
     ranges = ranges.groupBy("doc_id", "row_hash").agg(F.collect_list("ranges").alias("ranges"))
     return marked.select("doc_id", "row_hash", "text").dropDuplicates(["doc_id", "row_hash"]).join(ranges, ["doc_id", "row_hash"])

@@ -97,6 +97,44 @@ def test_suffix_dedup(documents, length):
     assert rows(suffix_dedup.deduplicated(documents, length), *columns) == sorted(brute.suffix_dedup(DOCS, length), key=repr)
 
 
+def test_suffix_dedup_string_by_string(documents, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 0)
+    monkeypatch.setattr(suffix_dedup, "HOT_SAMPLE", 1)
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert rows(suffix_dedup.deduplicated(documents), *columns) == sorted(brute.suffix_dedup(DOCS, 50), key=repr)
+
+
+def test_suffix_dedup_parts_a_common_passage(spark, monkeypatch, tmp_path):
+    """A license line in every text, with other text around it each time, is more than one shard takes."""
+    r = random.Random(7)
+    other = lambda: "".join(r.choice("abcdefgh ") for _ in range(r.randint(60, 90)))
+    license_line = "Permission is hereby granted, free of charge, to any person obtaining a copy of this text."
+    docs = [(i, other() + license_line + other()) for i in range(1500)]
+    judge, limit = suffix_dedup._judge_shard, 20_000
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", limit)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", limit // 4, raising=False)
+    monkeypatch.setattr(suffix_dedup, "HOT_SAMPLE", 2, raising=False)
+    folder, unpressed = str(tmp_path), suffix_dedup._unpressed
+
+    def measured(length):
+        run = judge(length)
+
+        def measure(table):
+            size = sum(len(unpressed(x)) for x in table.column("pieces").to_pylist() if x)
+            with open(f"{folder}/{random.SystemRandom().getrandbits(64)}", "w") as file:
+                file.write(str(size))
+            return run(table)
+
+        return measure
+
+    monkeypatch.setattr(suffix_dedup, "_judge_shard", measured)
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    assert rows(suffix_dedup.deduplicated(table), *columns) == sorted(brute.suffix_dedup(docs, 50), key=repr)
+    sizes = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert max(sizes) < 2 * limit
+
+
 @pytest.mark.parametrize("k", [2, 4])
 def test_near_dedup(documents, k):
     columns = ("doc_id", "n_shingles", "component_id", "kept")
