@@ -38,7 +38,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, packed into sequences."""
     ship_package(spark)
-    return packing.packed(docs, tokenizer_path())
+    return packing.packed(docs, tokenizer_path(), added_tokens=True)
 
 
 STAGES = [

@@ -9,6 +9,10 @@ Token ids come from the `tokenizers` library. Its splitting rule is applied to w
 of text with numpy, and the library is asked once for every different split; the ids it
 gave are kept per worker, `KEPT_SPLITS` at most, then the store starts anew.
 
+The tokenizer file's added tokens ("<|endoftext|>") are plain text by default. With
+`added_tokens` texts are cut at them first and they get their own ids, as a call of the
+tokenizer without flags does; the queries and the pipeline ask for that.
+
 Null and empty texts are one piece with the closing id only. Rows with an equal doc_id are
 packed one by one. Columns other than doc_id and text are ignored.
 """
@@ -100,6 +104,18 @@ class SplitIds:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
         self._clear()
+        self.added = self._added_tokens()
+
+    def _added_tokens(self) -> tuple[regex.Pattern, dict[str, int]] | None:
+        """A pattern of the tokens that the file adds, the longest first, and their ids."""
+        tokens = self.tokenizer.get_added_tokens_decoder()
+        if not tokens:
+            return None
+        for token in tokens.values():
+            if token.lstrip or token.rstrip or token.single_word or (token.normalized and self.tokenizer.normalizer):
+                raise ValueError(f"added tokens with options are not supported: {token.content}")
+        contents = sorted((t.content for t in tokens.values()), key=len, reverse=True)
+        return regex.compile("|".join(map(regex.escape, contents)).encode()), {t.content.encode(): i for i, t in tokens.items()}
 
     def _clear(self):
         self.keys = np.empty(0, np.uint64)
@@ -144,6 +160,31 @@ class SplitIds:
         pick = np.repeat(self.bounds[place] - total[:-1], sizes) + np.arange(total[-1])
         return self.ids[pick], total[np.searchsorted(starts, offsets)]
 
+    def encode_added(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Like `encode`, but the tokenizer's added tokens have their own ids."""
+        raw = data.tobytes()
+        if not self.added or not (any(t in raw for t in self.added[1])):
+            return self.encode(data, offsets)
+        pattern, id_of = self.added
+        found = []
+        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            found += [m.span() for m in pattern.finditer(raw, a, b)]
+        if not found:  # only across the bounds of rows
+            return self.encode(data, offsets)
+        begins, ends = np.array(found, np.int64).T
+        # rows are cut before and after every token; the pieces that are tokens are emptied
+        edges = np.unique(np.concatenate([offsets, begins, ends]))
+        gone = np.zeros(len(data) + 1, np.int64)
+        np.add.at(gone, begins, 1)
+        np.add.at(gone, ends, -1)
+        kept = np.cumsum(gone[:-1]) == 0
+        before = np.concatenate([[0], np.cumsum(kept)])
+        ids, bounds = self.encode(data[kept], before[edges])
+        at = bounds[np.searchsorted(edges, begins)]
+        out = np.insert(ids, at, np.array([id_of[raw[a:b]] for a, b in found], np.uint32))
+        plain = bounds[np.searchsorted(edges, offsets)]
+        return out, plain + np.searchsorted(begins, offsets)
+
 
 _ENCODERS: dict[str, SplitIds] = {}
 
@@ -156,9 +197,10 @@ def encoder(tokenizer_json: str) -> SplitIds:
     return _ENCODERS[key]
 
 
-def _pieces(shared, capacity: int):
+def _pieces(shared, capacity: int, added_tokens: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(shared.value).encode
+        ids_of = encoder(shared.value)
+        encode = ids_of.encode_added if added_tokens else ids_of.encode
         for batch in batches:
             for part in blocks.slices(batch, "text"):
                 ids, bounds = encode(*blocks.text_bytes(part.column("text")))
@@ -217,13 +259,13 @@ def _first_fit(capacity: int):
     return run
 
 
-def packed(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS) -> DataFrame:
+def packed(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, added_tokens: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset for every piece; see the module's text."""
     spark = documents.sparkSession
     with open(tokenizer_path, encoding="utf-8") as file:
         shared = spark.sparkContext.broadcast(file.read())
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     groups = max(1, -(-documents.count() // group_docs))
-    pieces = texts.mapInArrow(_pieces(shared, capacity), _PIECES)
+    pieces = texts.mapInArrow(_pieces(shared, capacity, added_tokens), _PIECES)
     dealt = pieces.withColumn("dealt", F.pmod(F.xxhash64("doc_id", "pack_key", "doc_tokens"), F.lit(groups)))
     return dealt.groupBy("dealt").applyInPandas(_first_fit(capacity), _PACKED)

@@ -39,7 +39,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path(), added_tokens=True)
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

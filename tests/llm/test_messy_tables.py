@@ -7,7 +7,7 @@ import brute
 import pytest
 
 from passagework.llm import decontaminate, host_rules, language, line_dedup, near_dedup, packing, pii, quality, sharding, suffix_dedup
-from passagework.llm.queries import remainder, tokenizer_path
+from passagework.llm.queries import op5_packing, remainder, tokenizer_path
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, shard int, kept boolean, h1 long, band long"
@@ -159,6 +159,15 @@ def test_packing(documents):
     assert sum(p[2] for p in pieces) > 0.9 * 1024 * (len(sequences) - 1)
 
 
+def test_packing_query_calls_the_tokenizer_without_flags(documents, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = rows(op5_packing(documents.sparkSession, str(tmp_path)), "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    assert not brute.piece_faults(DOCS, pieces, lambda t: tokenizer.encode(t, add_special_tokens=False).ids, 1024)
+
+
 @pytest.mark.parametrize("unit", [16, sharding.UNIT])
 def test_sharding(documents, unit):
     out = sharding.sharded(documents, shards=5, unit=unit).collect()

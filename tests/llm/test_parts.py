@@ -43,6 +43,22 @@ def test_splits_are_the_tokenizers():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == e.ids
 
 
+def test_added_tokens_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    with open(packing_path(), encoding="utf-8") as file:
+        given = file.read()
+    mine, real = packing.SplitIds(given), Tokenizer.from_str(given)
+    r = random.Random(3)
+    pool = [*"ab  \n'stm12.é<|>", "'s", "<|endoftext|>", "<|endoftext|>", "<|endof", "text|>", "\U0001f642"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randint(0, 12))) for _ in range(3000)] + ["", "x<|endof", "text|>", "<|endoftext|>"]
+    ids, bounds = mine.encode_added(*blocks.text_bytes(pa.array(texts)))
+    for i, text in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == real.encode(text, add_special_tokens=False).ids
+    apart = mine.encode_added(*blocks.text_bytes(pa.array(["x<|endof", "text|>", None])))
+    assert apart[0].tolist() == [i for t in ("x<|endof", "text|>") for i in real.encode(t, add_special_tokens=False).ids]
+
+
 def packing_path():
     from passagework.llm.queries import tokenizer_path
 
