@@ -7,8 +7,8 @@ rates by moments, every host's rate is shrunk towards it, and the texts of a hos
 shrunk rate exceeds `MAX_RATE` are not kept. Small hosts lean on the prior, so a single bad
 page does not condemn its host.
 
-A window is compared by a 64-bit hash of its words, less the bits that number the text's
-windows. Null, empty and word-less texts have zeros and fail. Rows with an equal doc_id
+A window is compared by two 64-bit hashes of its words, whatever the text's length; a text of
+a million windows has a chance near 1e-27 that two different ones agree. Null, empty and word-less texts have zeros and fail. Rows with an equal doc_id
 are judged one by one. Columns other than doc_id, text and source are ignored.
 """
 
@@ -22,6 +22,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_RATE = 0.5
 
+SECOND_SEED = 0x5EED
 _GAP = r"[\x20\x09-\x0D]+"
 _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -43,16 +44,14 @@ def text_counts(documents: DataFrame) -> DataFrame:
         "doc_id", "source", "words", "word_chars", "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.size("words"), F.lit(0)).alias("n"),
-        F.expr("coalesce(shiftleft(1L, length(bin(size(words)))) - 1, 0L)").alias("mask"),
     )
-    # a window: its hash with its number in the low bits; equal windows are neighbours when sorted
-    window = "transform(slice(words, 1, greatest(n - 2, 0)), (w, i) -> coalesce((xxhash64(w, get(words, i + 1), get(words, i + 2)) & ~mask) | i, 0L))"
-    step = step.select("doc_id", "source", "word_chars", "n_symbols", "n_dup_lines", "n", "mask", F.sort_array(F.expr(window)).alias("sorted"))
-    twice = (
-        "filter(sorted, (x, i) -> coalesce((x & ~mask) = (get(sorted, i - 1) & ~mask), false)"
-        " OR coalesce((x & ~mask) = (get(sorted, i + 1) & ~mask), false))"
-    )
-    places = F.sort_array(F.expr(f"transform({twice}, x -> x & mask)"))
+    # a window: its hashes and its number; equal windows are neighbours when sorted
+    words = "w, get(words, i + 1), get(words, i + 2)"
+    window = f"transform(slice(words, 1, greatest(n - 2, 0)), (w, i) -> struct(xxhash64({words}) AS a, xxhash64({SECOND_SEED}, {words}) AS b, CAST(i AS long) AS i))"
+    step = step.select("doc_id", "source", "word_chars", "n_symbols", "n_dup_lines", "n", F.sort_array(F.expr(window)).alias("sorted"))
+    same = "coalesce(x.a = get(sorted, i {0} 1).a AND x.b = get(sorted, i {0} 1).b, false)"
+    twice = f"filter(sorted, (x, i) -> {same.format('-')} OR {same.format('+')})"
+    places = F.sort_array(F.expr(f"transform({twice}, x -> x.i)"))
     step = step.select("doc_id", "source", "word_chars", "n_symbols", "n_dup_lines", "n", places.alias("places"))
     covered = "aggregate(transform(places, (p, i) -> least(3L, p - coalesce(get(places, i - 1), p - 3L))), 0L, (a, x) -> a + x)"
     return step.select("doc_id", "source", F.col("n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.expr(covered).alias("n_repeat_words"))

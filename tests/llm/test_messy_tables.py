@@ -193,6 +193,14 @@ def test_host_rules(documents):
     assert all(not (r.base_failed and r.kept) for r in judged.collect())
 
 
+def test_long_texts_have_no_false_repeats(spark):
+    """Three million different windows: their hashes would agree without the bits that number them."""
+    text = F.expr("array_join(transform(sequence(1L, 3000000L), x -> conv(x, 10, 36)), ' ')")
+    table = spark.range(1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("h").alias("source"))
+    out = host_rules.text_counts(table).first()
+    assert (out.n_words, out.n_repeat_words) == (3_000_000, 0)
+
+
 def test_host_verdicts(spark):
     good, bad = " ".join(f"w{i}" for i in range(60)), "short"
     rows_ = [(i, good, "fine") for i in range(40)] + [(100 + i, bad if i < 38 else good, "poor") for i in range(40)] + [(200, bad, "tiny"), (201, good, "tiny"), (202, good, None)]
