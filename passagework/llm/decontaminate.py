@@ -6,8 +6,9 @@ one length m are one pattern set: the shift table says for a hashed block of two
 the shift is 0 the block's bucket names the patterns that end there, and the words
 themselves are compared. A slice of documents is searched in many lanes at once.
 
-The item tables are broadcast in blocks of at most `ITEM_BYTES` of text, and documents
-pass the blocks one after the other, so a large benchmark needs more passes, not memory.
+The item tables are broadcast in blocks of about `ITEM_BYTES` of text, and documents pass the
+blocks one after the other and are written in between, so a task holds the tables of one block.
+The driver builds each block's tables; items with one text are in one block, however many.
 
 Null, empty and word-less texts have no words and no hits; word-less items no windows.
 Rows with an equal doc_id are judged one by one, items with equal text all count. Null
@@ -24,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 
 from passagework.llm import blocks
+from passagework.session import write_and_read
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -186,8 +188,12 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WIDTH
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every row; see the module's text."""
     texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     state = texts.select("doc_id", "text", F.lit(b"").alias("spans"), F.lit(None).cast("array<long>").alias("items"))
+    last = None
     for shared in _item_blocks(documents.sparkSession, benchmark, width, item_bytes):
-        state = state.mapInArrow(_search(shared), _FOUND)
+        if last:
+            state = write_and_read(state, "searched")
+            last.destroy()
+        state, last = state.mapInArrow(_search(shared), _FOUND), shared
     state = state.withColumn("items", F.coalesce("items", F.array().cast("array<long>")))
     return state.mapInArrow(_verdicts, _RESULT)
 

@@ -148,6 +148,12 @@ def test_decontamination(documents, benchmark, item_bytes):
     assert rows(decontaminate.contamination(documents, benchmark, item_bytes=item_bytes), *columns) == sorted(want, key=repr)
 
 
+def test_decontamination_holds_one_block(documents, benchmark):
+    """Of several blocks only the last one's search is in the plan; the others' results are written."""
+    plan = decontaminate.contamination(documents, benchmark, item_bytes=60)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2
+
+
 def test_packing(documents):
     from tokenizers import Tokenizer
 
