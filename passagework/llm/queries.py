@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from passagework.llm import decontaminate, host_rules, language, line_dedup, near_dedup, packing, pii, quality, sharding, suffix_dedup
+from passagework.llm import (
+    decontaminate, fingerprints, host_rules, language, lexical, line_dedup, near_dedup, packing, pii, quality, sharding, suffix_dedup, whitening,
+)
 from passagework.llm.sql import SQL  # noqa: F401  (the queries' SQL, where there is one)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,10 +64,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+    as_text = [fingerprints.fingerprint(F.col(c)).alias(name) for c, name in (("vector", "fingerprint"), ("edited_vector", "edited_fingerprint"))]
+    return found.select("doc_id", "n_chars", "edited_sha256", *as_text, "near_edited", "near_next")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_quality, op3_suffix_dedup, op4_sharding, op5_packing,
         op6_language, op7_host_rules, op8_pii, op9_near_dedup, op10_decontamination,
+        op11_whitening, op12_lexical_search, op13_fingerprints,
     )
 }
