@@ -15,21 +15,6 @@ def estimate_counts(words: list[str]) -> np.ndarray:
     return (lengths + 3) // 4
 
 
-def tiktoken_counter(encoding: str = "cl100k_base") -> TokenCounter:
-    """Real byte-pair counts; needs the encoding's table on every executor."""
-    loaded = []
-
-    def count(words: list[str]) -> np.ndarray:
-        if not loaded:
-            import tiktoken
-
-            loaded.append(tiktoken.get_encoding(encoding))
-        tokens = loaded[0].encode_ordinary_batch(words)
-        return np.fromiter(map(len, tokens), np.int64, len(words))
-
-    return count
-
-
 def split_words(text: str) -> list[str]:
     """The words between single spaces, with a newline word after every line."""
     return (text.replace("\n", " \n ") + " \n").split(" ")

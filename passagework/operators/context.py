@@ -10,8 +10,8 @@ from passagework.functions.text import text_tokens
 from passagework.schemas import TOOL_INPUT
 
 
-def context_blocks(hits: DataFrame, text_col: str, key: str = "qid") -> DataFrame:
-    """One numbered text block per query. A query has at most its k hits.
+def context_blocks(hits: DataFrame, text_col: str, *keys: str) -> DataFrame:
+    """One numbered text block per query (`qid`, or other `keys`). A query has at most its k hits.
 
     Hits are shuffled by query before grouping: collecting texts in the map
     tasks would save nothing and hold them in memory twice.
@@ -19,7 +19,8 @@ def context_blocks(hits: DataFrame, text_col: str, key: str = "qid") -> DataFram
     header = F.format_string(fixed.HIT_HEADER, F.col("rank"), F.col("similarity"))
     line = F.concat(header, F.col(text_col))
     lines = F.sort_array(F.collect_list(F.struct(F.col("rank"), line.alias("line"))))
-    return hits.repartition(key).groupBy(key).agg(
+    keys = keys or ("qid",)
+    return hits.repartition(*keys).groupBy(*keys).agg(
         F.array_join(F.transform(lines, lambda x: x["line"]), "\n\n").alias("context")
     )
 
@@ -34,28 +35,24 @@ def prompt(context: Column, query: Column) -> Column:
     )
 
 
-def prompts(queries: DataFrame, contexts: DataFrame) -> DataFrame:
-    """`(qid, prompt)` for every query, also those without hits."""
-    joined = queries.select("qid", "query").join(contexts, "qid", "left")
-    return joined.select("qid", prompt(F.col("context"), F.col("query")).alias("prompt"))
-
-
 def parse_tool_input(
     calls: DataFrame, question: Column, default_k: int, input_col: str = "input_json"
 ) -> DataFrame:
     """`query` and `top_k` of each recorded call, with the defaults for absent fields.
 
-    `valid` is false when the text is not an object or lacks the required
-    `query`; the question then stands in. `pretty` is the indented echo.
+    `valid` is false when the text is not an object, lacks the required `query` or asks
+    for a negative number of hits; the question and the default number then stand in.
+    `pretty` is the indented echo.
     """
     parsed = F.from_json(F.col(input_col), TOOL_INPUT)
     return (
         calls.withColumn("_in", parsed)
-        .withColumn("valid", F.coalesce(F.col("_in.query").isNotNull(), F.lit(False)))
+        .withColumn("countable", F.coalesce(F.col("_in.top_k") >= 0, F.lit(True)))
+        .withColumn("valid", F.coalesce(F.col("_in.query").isNotNull(), F.lit(False)) & F.col("countable"))
         .withColumn("query", F.coalesce(F.col("_in.query"), question))
-        .withColumn("top_k", F.coalesce(F.col("_in.top_k"), F.lit(default_k)))
+        .withColumn("top_k", F.coalesce(F.when(F.col("countable"), F.col("_in.top_k")), F.lit(default_k)))
         .withColumn("pretty", F.to_json(F.col("_in"), {"pretty": "true"}))
-        .drop("_in")
+        .drop("_in", "countable")
     )
 
 

@@ -2,29 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import parquet
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from passagework.functions.text import text_match, text_match_any
 from passagework.functions.vectors import LocalTopK, inner_product, matrix
-from passagework.session import write_and_read
+from passagework.session import new_path
 
-# Query vectors are sent to every task only up to this many; above it both sides
-# are cut into blocks instead. 8192 vectors of 1536 floats are 48 MB.
-MAX_SENT_QUERIES = 8192
-# The sides of a block pair, in bytes of vectors. The corpus is shuffled once per
-# query block, so query blocks are the larger ones.
+# What a task holds at once of the corpus and of the stored queries, in bytes of vectors.
 CORPUS_BLOCK_BYTES = 64 << 20
-QUERY_BLOCK_BYTES = 256 << 20
+QUERY_BLOCK_BYTES = 64 << 20
+# Rows of one stored file of queries.
+QUERY_FILE_ROWS = 50_000
 # Hits joined back to their text are broadcast up to this many rows.
 MAX_BROADCAST_HITS = 200_000
-# Ids of one query's hits that may stand in a scan's filter.
-MAX_FETCHED_HITS = 1_000
+# Hits that may be fetched so that their ids become a filter of the scan for text, and the
+# number of ids up to which that filter is a list; beyond it is a range.
+MAX_FETCHED_HITS = 20_000
+MAX_LISTED_IDS = 1_000
 
 # Hits of one query are merged in this many groups first.
 MERGE_GROUPS = 32
@@ -66,60 +69,84 @@ def _vectors_of(corpus: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     )
 
 
-def _scan_with_sent_queries(corpus: DataFrame, sent: pa.Table, dim: int, schema: str) -> DataFrame:
-    """Each task scores its own rows against all queries and returns its best only."""
+class QueryStore(NamedTuple):
+    """Queries `(qid, v, k)` written to the shared folder, which tasks read block by block."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, vectors, k = _read_queries(sent, dim)
-        best = LocalTopK(vectors, k)
-        for batch in batches:
-            ids = batch.column("id").to_numpy(zero_copy_only=False)
-            best.add(ids, matrix(batch.column("v"), dim))
-        yield pa.RecordBatch.from_pydict(_hits(best, qids))
+    files: list[str]
+    rows: int
+    dim: int
+    k_sum: int
+    k_max: int
 
-    return corpus.mapInArrow(scan, schema)
+    def blocks(self, block_bytes: int) -> Iterator[pa.Table]:
+        rows = max(1, block_bytes // (8 * self.dim))
+        held, n = [], 0
+        for uri in self.files:
+            files, path = FileSystem.from_uri(uri)
+            with files.open_input_file(path) as source:
+                for batch in parquet.ParquetFile(source).iter_batches(rows):
+                    if n + batch.num_rows > rows:
+                        yield pa.Table.from_batches(held)
+                        held, n = [], 0
+                    held.append(batch)
+                    n += batch.num_rows
+        if n:
+            yield pa.Table.from_batches(held)
 
 
-def _scan_block_pairs(
-    corpus: DataFrame, queries: DataFrame, dim: int, query_block_rows: int, schema: str
-) -> DataFrame:
-    """Both sides are large: every corpus block meets every query block in one group.
+def store_queries(queries: DataFrame) -> QueryStore:
+    """Write `queries(qid, v, k)` once, so that scoring and retries do not embed them again.
 
-    Blocks are hash-made and of limited size, so a task holds one block of each
-    side whatever the totals; only each pair's best rows leave it.
+    Every qid must be there once, k must not be negative or NULL.
+    """
+    path = new_path(queries.sparkSession, "queries")
+    queries.write.option("maxRecordsPerFile", QUERY_FILE_ROWS).parquet(path)
+    stored = queries.sparkSession.read.schema(queries.schema).parquet(path)
+    facts = stored.agg(
+        F.count("*").alias("rows"),
+        F.count_distinct("qid").alias("qids"),
+        F.max(F.size("v")).alias("dim"),
+        F.count("k").alias("limits"),
+        F.min("k").alias("least"),
+        F.coalesce(F.sum("k"), F.lit(0)).alias("k_sum"),
+        F.coalesce(F.max("k"), F.lit(0)).alias("k_max"),
+    ).first()
+    if facts.qids != facts.rows:
+        raise ValueError("a qid is NULL or stands for several queries")
+    if facts.limits != facts.rows or (facts.rows and facts.least < 0):
+        raise ValueError("the number of hits of a query must not be negative or NULL")
+    return QueryStore(list(stored.inputFiles()), facts.rows, facts.dim or 0, facts.k_sum, facts.k_max)
+
+
+def _scored(corpus: DataFrame, blocks: Callable[[], Iterable[pa.Table]], dim: int, schema: str) -> DataFrame:
+    """Each task's rows against all query blocks; only the best rows of each leave it.
+
+    A task gathers rows up to a block of limited size, reads all queries against it, block
+    by block, and goes on. The corpus is scanned once, where it lies, and memory holds a
+    block of either side however many there are.
     """
-    corpus_block_rows = max(1, CORPUS_BLOCK_BYTES // (8 * dim))
-    corpus_blocks = -(-corpus.count() // corpus_block_rows) or 1
-    query_blocks = -(-queries.count() // query_block_rows) or 1
 
-    def block(key: str, blocks: int) -> Column:
-        return F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int")
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n * dim * 8 >= CORPUS_BLOCK_BYTES:
+                yield pa.Table.from_batches(held)
+                held, n = [], 0
+        if n:
+            yield pa.Table.from_batches(held)
 
-    def every(blocks: int) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in gathered(batches):
+            ids, vectors = rows.column("id").to_numpy(), matrix(rows.column("v"), dim)
+            for block in blocks():
+                qids, asked, k = _read_queries(block, dim)
+                best = LocalTopK(asked, k)
+                best.add(ids, vectors)
+                yield pa.RecordBatch.from_pydict(_hits(best, qids))
 
-    left = corpus.select("*", block("id", corpus_blocks).alias("cb")).select(
-        "*", every(query_blocks).alias("qb")
-    )
-    right = queries.select("*", block("qid", query_blocks).alias("qb")).select(
-        "*", every(corpus_blocks).alias("cb")
-    )
-    qid_type = pa.string() if dict(queries.dtypes)["qid"] == "string" else pa.int64()
-    empty = pa.schema(
-        [("qid", qid_type), ("id", pa.int64()), ("similarity", pa.float64()), ("k", pa.int32())]
-    ).empty_table()
-
-    def score(rows_part: pa.Table, query_part: pa.Table) -> pa.Table:
-        if not rows_part.num_rows or not query_part.num_rows:
-            return empty
-        qids, vectors, k = _read_queries(query_part, dim)
-        best = LocalTopK(vectors, k)
-        best.add(rows_part.column("id").to_numpy(), matrix(rows_part.column("v"), dim))
-        return pa.table(_hits(best, qids))
-
-    return (
-        left.groupBy("cb", "qb").cogroup(right.groupBy("cb", "qb")).applyInArrow(score, schema)
-    )
+    return corpus.mapInArrow(scan, schema)
 
 
 def _merge(found: DataFrame, most: int) -> DataFrame:
@@ -147,40 +174,27 @@ def nearest(
     vector_col: str,
     query_id: str = "qid",
     query_vector: str = "q",
-    max_sent_queries: int = MAX_SENT_QUERIES,
-    query_block_rows: int | None = None,
+    query_block_bytes: int = QUERY_BLOCK_BYTES,
 ) -> Hits:
     """The `k` best rows for every query, ranked; ties go to the smaller id.
 
-    `k` may be a column of `queries`; NULL vectors take no part. Tasks keep
-    only their own best rows, so at most tasks x queries x k narrow rows are
-    shuffled; texts are joined to the final hits, see `search`.
+    `k` may be a column of `queries`; NULL vectors take no part. Queries are stored and
+    read by the tasks that hold the corpus, which is neither shuffled nor copied; at most
+    corpus blocks x queries x k narrow rows are, trimmed by Spark in every task. Texts are
+    joined to the final hits, see `search`.
     """
     corpus = _vectors_of(corpus, id_col, vector_col)
     k = F.lit(k) if isinstance(k, int) else k
-    queries = (
-        queries.where(F.col(query_vector).isNotNull())
-        .select(
-            F.col(query_id).alias("qid"), F.col(query_vector).alias("v"), k.cast("int").alias("k")
-        )
-        .where("k > 0")
+    queries = queries.where(F.col(query_vector).isNotNull()).select(
+        F.col(query_id).alias("qid"), F.col(query_vector).alias("v"), k.cast("int").alias("k")
     )
     schema = _HIT.format(qid=dict(queries.dtypes)["qid"])
-
-    sent = queries.limit(max_sent_queries + 1).toArrow()
-    if not sent.num_rows:
+    store = store_queries(queries)
+    if not store.k_sum:
         none = corpus.sparkSession.createDataFrame([], schema)
         return Hits(none.drop("k").withColumn("rank", F.lit(0)), 0)
-    dim = len(sent.column("v")[0])
-    if sent.num_rows <= max_sent_queries:
-        found = _scan_with_sent_queries(corpus, sent, dim, schema)
-        limits = sent.column("k").to_pylist()
-        return Hits(_merge(found, max(limits)), sum(limits))
-    # stored, so that counting, scoring and retries do not embed the queries again
-    queries = write_and_read(queries, "queries")
-    block_rows = query_block_rows or max(1, QUERY_BLOCK_BYTES // (8 * dim))
-    most = queries.agg(F.max("k").alias("most")).first()["most"]
-    return Hits(_merge(_scan_block_pairs(corpus, queries, dim, block_rows, schema), most), None)
+    found = _scored(corpus, partial(store.blocks, query_block_bytes), store.dim, schema)
+    return Hits(_merge(found, store.k_max), store.k_sum)
 
 
 def with_payload(
@@ -189,10 +203,25 @@ def with_payload(
     """Hit rows with columns of the table they were found in.
 
     The scoring pass reads ids and vectors only; wide text columns are read
-    here, against the few hits.
+    here, against the few hits. A known small number of hits is fetched, and their ids
+    filter this scan, which then skips the row groups that cannot hold them.
     """
     texts = table.select(F.col(id_col).alias("id"), *payload)
-    return texts.join(hits.to_join(), "id").select("qid", "rank", "id", *payload, "similarity")
+    rows = hits.to_join()
+    if hits.bound is not None and hits.bound <= MAX_FETCHED_HITS:
+        texts, rows = _filtered_by(texts, hits.rows)
+    return texts.join(rows, "id").select("qid", "rank", "id", *payload, "similarity")
+
+
+def _filtered_by(texts: DataFrame, hits: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Few hits, fetched, and the rows of `texts` that their ids may name."""
+    fetched = hits.toArrow()
+    ids = fetched.column("id").unique().to_pylist()
+    if len(ids) <= MAX_LISTED_IDS:
+        texts = texts.where(F.col("id").isin(ids))
+    else:
+        texts = texts.where(F.col("id").between(min(ids), max(ids)))
+    return texts, F.broadcast(hits.sparkSession.createDataFrame(fetched))
 
 
 def search(
@@ -227,16 +256,15 @@ def search_one(
     """
     sent = pa.table({"qid": pa.array([0]), "v": [list(map(float, vector))], "k": pa.array([k])})
     best_first = [F.desc("similarity"), F.asc("id")]
-    found = _scan_with_sent_queries(
-        _vectors_of(corpus, id_col, vector_col), sent, len(vector), _HIT.format(qid="bigint")
+    found = _scored(
+        _vectors_of(corpus, id_col, vector_col), lambda: [sent], len(vector), _HIT.format(qid="bigint")
     )
     hits = found.orderBy(*best_first).limit(k).select("id", "similarity")
     texts = corpus.select(F.col(id_col).alias("id"), *payload)
     if k <= MAX_FETCHED_HITS:
-        fetched = hits.toArrow()
-        texts = texts.where(F.col("id").isin(fetched.column("id").to_pylist()))
-        hits = corpus.sparkSession.createDataFrame(fetched)
-    hits = F.broadcast(hits) if k <= MAX_BROADCAST_HITS else hits
+        texts, hits = _filtered_by(texts, hits)
+    elif k <= MAX_BROADCAST_HITS:
+        hits = F.broadcast(hits)
     return texts.join(hits, "id").select("id", *payload, "similarity").orderBy(*best_first)
 
 

@@ -59,13 +59,37 @@ def embedded_queries(queries: DataFrame, provider: Provider) -> DataFrame:
     return embed(queries, "query", provider, vector_col="q").withColumn("q", vector).drop("error")
 
 
+def contexts_of(
+    asked: DataFrame, corpus: DataFrame, kind: dict, provider: Provider
+) -> DataFrame:
+    """`asked(query, top_k)` to one context for each different pair.
+
+    A text that is asked many times, with whatever limits, is embedded and scored once, for
+    the greatest of them; shorter contexts take the first of its hits. Texts are told apart
+    by their digest, `asked_key`.
+    """
+    asked = asked.select("query", "top_k").distinct()
+    texts = asked.groupBy("query").agg(F.max("top_k").alias("top_k"))
+    vectors = embedded_queries(texts.withColumn("qid", F.md5("query")), provider)
+    hits = search(corpus, vectors, F.col("top_k"), **kind)
+    limits = asked.select(F.md5("query").alias("qid"), "top_k")
+    own = hits.join(limits, "qid").where(F.col("rank") <= F.col("top_k"))
+    return context.context_blocks(own, _text(kind), "qid", "top_k").withColumnRenamed("qid", "asked_key")
+
+
+def with_context(asked: DataFrame, contexts: DataFrame) -> DataFrame:
+    """Rows with `query` and `top_k`, and their `context`; without a hit it is NULL."""
+    keyed = asked.withColumn("asked_key", F.md5("query"))
+    return keyed.join(contexts, ["asked_key", "top_k"], "left").drop("asked_key")
+
+
 def naive_prompts(
     queries: DataFrame, corpus: DataFrame, kind: dict, provider: Provider, k: int
 ) -> DataFrame:
     """`(qid, prompt)`: every question with its k best hits as context."""
-    vectors = embedded_queries(queries, provider)
-    hits = search(corpus, vectors, k, **kind)
-    return context.prompts(queries, context.context_blocks(hits, _text(kind)))
+    asked = queries.select("qid", "query", F.lit(k).alias("top_k"))
+    found = with_context(asked, contexts_of(asked, corpus, kind, provider))
+    return found.select("qid", context.prompt(F.col("context"), F.col("query")).alias("prompt"))
 
 
 def naive_prompts_chunks(queries, chunks, provider, k: int = fixed.TOP_K_CHUNKS) -> DataFrame:
@@ -88,17 +112,13 @@ def tool_transcripts(
 
     `questions(conv_id, query)`, `calls(conv_id, seq, input_json)`. Rounds
     depend on each other only through the recorded calls, so all of them, in
-    all conversations, are answered by one search.
+    all conversations, are answered by one search, each different text once.
     """
     rounds = context.tool_rounds(calls).join(
         questions.select("conv_id", F.col("query").alias("question")), "conv_id", "left"
     )
     rounds = context.parse_tool_input(rounds, F.col("question"), default_k)
-    # one number per call: a conversation has at most MAX_TOOL_ROUNDS rounds
-    rounds = rounds.withColumn("qid", F.col("conv_id") * fixed.MAX_TOOL_ROUNDS + F.col("round") - 1)
-    vectors = embedded_queries(rounds.select("qid", "query", "top_k"), provider)
-    hits = search(corpus, vectors, F.col("top_k"), **kind)
-    answered = rounds.join(context.context_blocks(hits, _text(kind)), "qid", "left")
+    answered = with_context(rounds, contexts_of(rounds, corpus, kind, provider))
     return context.transcript(questions, answered)
 
 

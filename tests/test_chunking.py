@@ -1,10 +1,11 @@
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from passagework.functions import chunking, text
-from passagework.operators import chunk
+from passagework.operators import chunk, table_functions
 
 texts = st.text(alphabet="ab \n\u00e9\u00a0", max_size=60)
 
@@ -91,10 +92,14 @@ def test_jobs(spark):
     assert kept.where("part_no = 0").count() == cut.count() == kept.count()
 
 
-def test_table_function(spark):
-    chunk.register_chunk_text(spark)
-    rows = spark.sql("SELECT * FROM chunk_text('aaaa bbbb', 1)").collect()
-    assert [tuple(r) for r in rows] == [(0, "aaaa", 1), (1, "bbbb", 1)]
+def test_table_function(spark, plan):
+    table_functions.register_chunk_text(spark)
+    spark.createDataFrame([(1, "aaaa bbbb"), (2, None), (3, ""), (4, "x")], "id int, text string").repartition(2).createOrReplaceTempView("texts")
+    found = spark.sql("SELECT * FROM chunk_text(TABLE(texts), 1)")
+    assert sorted(map(tuple, found.collect())) == [(1, 0, "aaaa", 1), (1, 1, "bbbb", 1), (4, 0, "x", 1)]
+    assert "ArrowEvalPythonUDTF" in plan(found)
+    with pytest.raises(Exception, match="the budget must be positive"):
+        spark.sql("SELECT * FROM chunk_text(TABLE(texts), 0)").collect()
 
 
 def test_chunking_runs_once_per_text(spark, plan):

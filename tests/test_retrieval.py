@@ -10,7 +10,7 @@ from passagework.functions import vectors
 from passagework.functions.embedding import HashingProvider, TooLong
 from passagework.functions.text import text_match
 from passagework.functions.vectors import LocalTopK
-from passagework.operators import embed, retrieve
+from passagework.operators import context, embed, retrieve, table_functions
 from passagework.plans import answering
 from passagework.session import new_path
 from passagework.sources import readers, sinks
@@ -47,17 +47,60 @@ def make(spark, n=400, n_queries=30, dim=8, seed=1):
     )
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_sent_queries": 4, "query_block_rows": 7}])
-def test_nearest_equals_brute_force(spark, limits, monkeypatch):
-    monkeypatch.setattr(retrieve, "CORPUS_BLOCK_BYTES", 8 * 8 * 50)
+@pytest.mark.parametrize("limits", [{}, {"query_block_bytes": 7 * 8 * 8}])
+def test_nearest_equals_brute_force(spark, limits):
     corpus, queries, c, q = make(spark)
     hits = retrieve.nearest(c, q, 6, id_col="id", vector_col="v", **limits)
     found = {(r.qid, r.id, r["rank"]) for r in hits.rows.collect()}
     assert found == brute_force(corpus, queries, lambda _: 6)
-    assert hits.bound == (None if limits else 180)
+    assert hits.bound == 180
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_sent_queries": 4}])
+def test_corpus_blocks_of_one_task(spark):
+    corpus, queries, c, q = make(spark)
+    store = retrieve.store_queries(q.select("qid", F.col("q").alias("v"), F.lit(6).alias("k")))
+    rows = c.where("v IS NOT NULL").coalesce(1).toArrow()
+    blocks = list(store.blocks(7 * 8 * 8))
+    assert len(blocks) >= 5 and max(b.num_rows for b in blocks) <= 7 and sum(b.num_rows for b in blocks) == 30
+    # the task's function, with blocks of few rows
+    limit = retrieve.CORPUS_BLOCK_BYTES
+    try:
+        retrieve.CORPUS_BLOCK_BYTES = 50 * 8 * 8
+        found = []
+
+        class Corpus:
+            def mapInArrow(self, scan, schema):
+                return list(scan(iter(rows.to_batches(max_chunksize=20))))
+
+        found = retrieve._scored(Corpus(), lambda: store.blocks(7 * 8 * 8), 8, "")
+    finally:
+        retrieve.CORPUS_BLOCK_BYTES = limit
+    assert len(found) > len(blocks)  # several corpus blocks met every query block
+    best = {}
+    for batch in found:
+        for r in batch.to_pylist():
+            best.setdefault(r["qid"], []).append((-r["similarity"], r["id"]))
+    ranked = {(q, i, n) for q, hits in best.items() for n, (_, i) in enumerate(sorted(hits)[:6], 1)}
+    assert ranked == brute_force(corpus, queries, lambda _: 6)
+
+
+def test_the_corpus_is_scored_where_it_lies(spark, plan):
+    _, _, c, q = make(spark, n=60)
+    path = new_path(spark, "corpus")
+    c.write.parquet(path)
+    hits = retrieve.nearest(spark.read.parquet(path), q, 3, id_col="id", vector_col="v")
+    below = plan(hits.rows).partition("MapInArrow")[2]
+    assert "Scan parquet" in below and "Exchange" not in below and "Join" not in below
+
+
+def test_queries_must_be_unique_and_limits_natural(spark):
+    _, _, c, q = make(spark, n=20, n_queries=3)
+    for wrong, k in ((q.unionAll(q), 2), (q, -1), (q.withColumn("qid", F.lit(None).cast("long")), 2)):
+        with pytest.raises(ValueError):
+            retrieve.nearest(c, wrong, k, id_col="id", vector_col="v")
+
+
+@pytest.mark.parametrize("limits", [{}, {"query_block_bytes": 1}])
 def test_k_per_query_and_empty_limits(spark, limits):
     corpus, queries, c, q = make(spark, n=60)
     q = q.withColumn("k", (F.col("qid") % 4).cast("int"))
@@ -84,7 +127,7 @@ def test_one_query_best_first(spark):
 def test_text_query_ids(spark):
     corpus, queries, c, q = make(spark, n=50, n_queries=9)
     q = q.withColumn("qid", F.concat(F.lit("q"), "qid"))
-    for limits in ({}, {"max_sent_queries": 3}):
+    for limits in ({}, {"query_block_bytes": 3 * 8 * 8}):
         hits = retrieve.nearest(c, q, 2, id_col="id", vector_col="v", **limits).rows.collect()
         assert {(r.qid, r.id, r["rank"]) for r in hits} == {
             (f"q{a}", b, n) for a, b, n in brute_force(corpus, queries, lambda _: 2)
@@ -116,6 +159,55 @@ def test_local_top_k_with_many_copies(monkeypatch, cells, order):
         assert mine == wanted
 
 
+class Fixed:
+    """Embeds any text as the vector it names."""
+
+    dim, batch_size = 8, 4
+
+    def embed(self, texts):
+        return [np.array([float(x) for x in t.split()], np.float32) for t in texts]
+
+
+def test_search_as_a_table_function(spark, plan):
+    corpus, queries, c, _ = make(spark, n=200)
+    c.createOrReplaceTempView("searched")
+    table_functions.register_search(spark, Fixed(), 4)
+    text = " ".join(map(str, queries[0][1]))
+
+    def found(k):
+        rows = f"SELECT * FROM similar_rows(TABLE(searched), '{text}', {k})"
+        return spark.sql(f"SELECT * FROM first_rows(TABLE({rows}))")
+
+    for k, wanted in (("NULL", 4), ("0", 0), ("1", 1), ("7", 7), ("1000", 1000)):
+        ids = [r.id for r in found(k).collect()]
+        assert ids == [i for _, i, _ in sorted(brute_force(corpus, queries[:1], lambda _: wanted), key=lambda x: x[2])]
+    # rows are trimmed in the tasks that hold them, before they meet
+    assert plan(found("7")).index("SinglePartition") < plan(found("7")).rindex("ArrowEvalPythonUDTF")
+    for wrong in ("-1", "'x'"):
+        with pytest.raises(Exception):
+            found(wrong).collect()
+    with pytest.raises(Exception, match="first_rows takes a TABLE of similar_rows"):
+        spark.sql("SELECT * FROM first_rows(TABLE(searched))").collect()
+
+
+def test_each_question_is_scored_once(spark):
+    """Calls with one text share one row of the store; each keeps its own limit."""
+    corpus, queries, c, _ = make(spark, n=80)
+    chunks = c.select(F.col("id").alias("chunk_id"), F.col("v").alias("content_chunk_vector"), F.col("id").alias("article_id"), F.col("id").cast("string").alias("content_chunk"))
+    text = " ".join(map(str, queries[0][1]))
+    asked = spark.createDataFrame([(1, text, 2), (2, text, 5), (3, text, 2), (4, None, 2), (5, text, 0)], "n int, query string, top_k int")
+    contexts = answering.contexts_of(asked.where("query IS NOT NULL"), chunks, answering.CHUNKS, Fixed())
+    assert {r.top_k for r in contexts.collect()} == {2, 5} and contexts.count() == 2
+    rows = {r.n: r.context for r in answering.with_context(asked, contexts).collect()}
+    assert rows[1] == rows[3] and rows[2].startswith(rows[1]) and rows[4] is None and rows[5] is None
+
+
+def test_a_negative_number_of_hits_is_not_valid(spark):
+    calls = spark.createDataFrame([(1, '{"query": "a", "top_k": -3}'), (2, '{"query": "a", "top_k": 0}')], "n int, input_json string")
+    rows = {r.n: (r.valid, r.top_k) for r in context.parse_tool_input(calls, F.lit("q"), 5).collect()}
+    assert rows == {1: (False, 5), 2: (True, 0)}
+
+
 def test_search_reads_text_only_for_hits(spark, plan, sf):
     from workload import views
 

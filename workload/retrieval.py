@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from passagework import fixed
-from passagework.operators import context, retrieve
+from passagework.operators import context, retrieve, table_functions
 from passagework.operators.predicates import predicate
 from passagework.operators.tables import select_many
 from passagework.plans import answering
@@ -93,6 +93,42 @@ def similar_articles(spark, sf):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+def _first_rows(corpus: str, id_col: str, vector_col: str, k: str) -> str:
+    similar = f"similar_rows(TABLE(SELECT {id_col}, {vector_col} FROM {corpus}), '{SEARCH_TEXT}', {k})"
+    return f"first_rows(TABLE(SELECT * FROM {similar}))"
+
+
+@query(
+    f"""WITH {ONE_HASHED}, {sql.CHUNKS}, {sql.ranked('chunks', 'chunk_id', 'content_chunk_vector', str(fixed.TOP_K_CHUNKS))}
+    SELECT c.article_id AS "articleId", c.content_chunk AS "chunkContent", round(h.similarity, 6) AS similarity
+    FROM hits h JOIN chunks c ON c.chunk_id = h.id"""
+)
+def udtf_similar_chunks(spark, sf):
+    """The search endpoint called in SQL, with no number of hits given."""
+    table_functions.register_search(spark, views.provider(), fixed.TOP_K_CHUNKS)
+    views.chunks(spark, sf).createOrReplaceTempView("searched_chunks")
+    found = _first_rows("searched_chunks", "chunk_id", "content_chunk_vector", "NULL")
+    return spark.sql(
+        f"""SELECT c.article_id AS articleId, c.content_chunk AS chunkContent, round(h.similarity, 6) AS similarity
+        FROM {found} h JOIN searched_chunks c ON c.chunk_id = h.id"""
+    )
+
+
+@query(
+    f"""WITH {ONE_HASHED}, {sql.ARTICLES}, {sql.ranked('articles', 'id', 'title_vector', '7')}
+    SELECT h.id, a.title, a.content, round(h.similarity, 6) AS similarity
+    FROM hits h JOIN articles a ON a.id = h.id"""
+)
+def udtf_similar_articles(spark, sf):
+    table_functions.register_search(spark, views.provider(), fixed.TOP_K_ARTICLES_TOOL)
+    views.articles(spark, sf).createOrReplaceTempView("searched_articles")
+    found = _first_rows("searched_articles", "id", "title_vector", "7")
+    return spark.sql(
+        f"""SELECT a.id, a.title, a.content, round(h.similarity, 6) AS similarity
+        FROM {found} h JOIN searched_articles a ON a.id = h.id"""
+    )
+
+
 KNN_SQL = f"""WITH {ASKED_HASHED}, {sql.ranked('embeddings', 'vec_id', 'embedding', '10')}
     SELECT qid, id, round(similarity, 6) AS similarity, rank FROM hits"""
 
@@ -116,8 +152,8 @@ def knn_batch(spark, sf):
 
 @query(KNN_SQL)
 def knn_block_pairs(spark, sf):
-    """The form for query sets too large to send: same rows."""
-    return _knn(spark, sf, max_sent_queries=8, query_block_rows=16)
+    """Queries read in many small blocks: same rows."""
+    return _knn(spark, sf, query_block_bytes=16 * 8 * views.DIM)
 
 
 @query(

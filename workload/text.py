@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from passagework import fixed, schemas
 from passagework.functions import text, vectors
-from passagework.operators import chunk, embed
+from passagework.operators import chunk, embed, table_functions
 from passagework.plans import loading
 from passagework.session import new_path
 from passagework.sources import readers, sinks
@@ -84,11 +84,11 @@ def rechunk_oversize(spark, sf):
 
 @query(f"WITH RECURSIVE {DOCS}, {sql.chunked('docs', SMALL_BUDGET)} SELECT {CUT_COLUMNS} FROM cut")
 def udtf_chunk_text(spark, sf):
-    chunk.register_chunk_text(spark)
+    table_functions.register_chunk_text(spark)
     views.documents(spark, sf, heavy_work=True).createOrReplaceTempView("chunk_source")
     return spark.sql(
-        f"""SELECT d.id AS article_id, c.chunk_no, c.content_chunk, c.n_tokens
-        FROM chunk_source d, LATERAL chunk_text(d.content, {SMALL_BUDGET}) c"""
+        f"""SELECT id AS article_id, chunk_no, content_chunk, n_tokens
+        FROM chunk_text(TABLE(SELECT id, content FROM chunk_source), {SMALL_BUDGET})"""
     )
 
 
