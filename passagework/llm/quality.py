@@ -231,10 +231,35 @@ def quality_scores(documents: DataFrame, labels: DataFrame, held_out: Column, sa
     return own.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out")).mapInArrow(_scores(shared), _SCORED)
 
 
+def _accepted(shared, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for part in blocks.slices(batch, text):
+                if model:
+                    x, bounds = passages(*blocks.text_bytes(part.column(text)))
+                    part = part.filter(pa.array(model.forward(x, bounds) >= THRESHOLD))
+                yield part
+
+    return run
+
+
 def accepted(documents: DataFrame, labels: DataFrame, held_out: Column) -> DataFrame:
     """The rows of `documents` that the classifier accepts; other columns stay.
 
-    Rows that share a doc_id with a rejected row go with it; rows without doc_id stay.
+    Rows are scored and filtered in one pass, under private column names. Rows that share a
+    doc_id with a rejected row go with it, which takes a join only where doc_ids repeat; rows
+    without doc_id stay or go by themselves.
     """
-    bad = quality_scores(documents, labels, held_out).where("predicted = 0").select(F.col("doc_id").alias("bad_id")).distinct()
-    return documents.join(bad, documents["doc_id"] == bad["bad_id"], "left_anti")
+    own = blocks.narrowed(documents, "doc_id", "text")
+    model = learn(own, blocks.narrowed(labels, "doc_id", "quality"), F.coalesce(~held_out, F.lit(False)))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    columns = documents.columns
+    private = documents.toDF(*[f"c{i}" for i in range(len(columns))])
+    kept = private.mapInArrow(_accepted(shared, f"c{columns.index('text')}"), private.schema).toDF(*columns)
+    repeated = own.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if not repeated.isEmpty():
+        scored = own.join(repeated, "doc_id", "left_semi").withColumn("held_out", F.lit(False)).mapInArrow(_scores(shared), _SCORED)
+        bad = scored.where("predicted = 0").select(F.col("doc_id").alias("bad_id")).distinct()
+        kept = kept.join(bad, kept["doc_id"] == bad["bad_id"], "left_anti")
+    return kept
