@@ -22,6 +22,7 @@ other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+from passagework.llm import blocks
 from passagework.session import write_and_read
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 EDITS = 2
 MIN_CHARS = 16
 HEAVY = 10_000
-#: Narrow rows that a join may send to every task; more are shuffled.
-SENT_ROWS = 200_000
+#: Bytes of a table that a join may send to every task; larger ones are shuffled.
+SENT_BYTES = 8 << 20
 BLANKS = " \t\n\x0b\x0c\r"
 #: Characters that candidates are compared by before their distance is taken.
 COUNTED = "etaonisrhdluc "
@@ -99,14 +100,20 @@ def _place() -> Column:
     return F.struct("doc_id", "line_no")
 
 
-def sized(table: DataFrame) -> DataFrame:
-    """Mark a stored table for broadcast if it has at most `SENT_ROWS` rows; joins shuffle otherwise."""
-    return F.broadcast(table) if table.count() <= SENT_ROWS else table
+def sized(table: DataFrame, row_bytes: Column) -> DataFrame:
+    """Mark a stored table for broadcast if its rows have at most `SENT_BYTES` together; joins shuffle otherwise."""
+    total = table.agg(F.sum(row_bytes.cast("long"))).first()[0] or 0
+    return F.broadcast(table) if total <= SENT_BYTES else table
 
 
 def line_verdicts(documents: DataFrame, edits: int = EDITS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """All lines (doc_id, row, line_no, h1, h2), distinct ones (h1, h2, first, n), and links between
-    those (a, b: h1 of the older and the younger; ordered: they are not of the same age)."""
+    those (a, b: h1 and h2 of the older and the younger; ordered: they are not of the same age).
+
+    Keys are gathered by h1 alone: lines that clash there have both lines' keys, which costs
+    candidates and no links.
+    """
+    documents = blocks.narrowed(documents, "doc_id", "text")
     lines = _lines(documents).withColumn("n", F.length("line"))
     keys = F.when(F.col("n") >= MIN_CHARS, segment_keys(edits))
     every = write_and_read(lines.select("doc_id", "row", "line_no", "h1", "h2", keys.alias("keys")), "all-lines")
@@ -118,39 +125,41 @@ def line_verdicts(documents: DataFrame, edits: int = EDITS) -> tuple[DataFrame,
     once = long_.join(heavy, ["h1", "h2"]).where(_place().eqNullSafe(F.col("first"))).select("h1", "keys")
     rows = light.unionAll(once).select("h1", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low < high").select("key")
-    shared = sized(write_and_read(shared, "shared-keys"))
+    shared = sized(write_and_read(shared, "shared-keys"), F.lit(8))
     of_line = rows.join(shared, "key", "left_semi").groupBy("h1").agg(F.collect_set("key").alias("keys"))
     of_line = write_and_read(of_line, "line-keys")
 
-    places = of_line.join(known, "h1").select("h1", "first", "keys")
-    wanted = places.groupBy(F.col("first.doc_id").alias("wanted_id")).agg(F.collect_list(F.struct("first.line_no", "h1", "keys")).alias("wanted"))
+    places = of_line.join(known, "h1").select("h1", "h2", "first", "keys")
+    wanted = places.groupBy(F.col("first.doc_id").alias("wanted_id")).agg(F.collect_list(F.struct("first.line_no", "h1", "h2", "keys")).alias("wanted"))
     wanted = write_and_read(wanted, "wanted-lines")
-    texts = documents.where("text IS NOT NULL").join(sized(wanted), F.col("doc_id").eqNullSafe(F.col("wanted_id")))
+    in_row = F.aggregate("wanted", F.lit(16).cast("long"), lambda n, w: n + 40 + 8 * F.size(w["keys"]))
+    texts = documents.where("text IS NOT NULL").join(sized(wanted, in_row), F.col("doc_id").eqNullSafe(F.col("wanted_id")))
     found = texts.select("doc_id", F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    found = found.select("doc_id", "w.line_no", F.expr("get(lines, w.line_no)").alias("line"), "w.h1", "w.keys")
-    found = found.where(F.xxhash64("line") == F.col("h1"))  # rows with an equal doc_id hold other lines there
+    found = found.select("doc_id", "w.line_no", F.expr("get(lines, w.line_no)").alias("line"), "w.h1", "w.h2", "w.keys")
+    found = found.where((F.xxhash64("line") == F.col("h1")) & (F.xxhash64(F.lit(1), "line") == F.col("h2")))  # rows with an equal doc_id hold other lines there
     points = F.transform(F.split("line", ""), lambda c: F.ascii(c))
     counts = F.array(*[F.length("line") - F.length(F.replace("line", F.lit(c))) for c in COUNTED])
-    found = found.select("h1", _place().alias("first"), F.length("line").alias("size"), points.alias("points"), counts.alias("counts"), "keys")
-    found = write_and_read(found.dropDuplicates(["h1"]), "lines-to-compare")
+    found = found.select("h1", "h2", _place().alias("first"), F.length("line").alias("size"), points.alias("points"), counts.alias("counts"), "keys")
+    found = write_and_read(found.dropDuplicates(["h1", "h2"]), "lines-to-compare")
 
-    one = found.select("h1", "first", "size", "points", "counts", "keys", F.explode("keys").alias("key"))
+    one = found.select("h1", "h2", "first", "size", "points", "counts", "keys", F.explode("keys").alias("key"))
     a = one.select(*[F.col(c).alias(f"a_{c}") for c in one.columns])
     b = one.select(*[F.col(c).alias(f"b_{c}") for c in one.columns])
     # an edit changes at most two of the counts, by one each
     apart = sum((F.abs(F.col("a_counts")[i] - F.col("b_counts")[i]) for i in range(len(COUNTED))), F.lit(0))
     linked = (
         (F.col("a_key") == F.col("b_key"))
-        & (F.col("a_h1") < F.col("b_h1"))
+        & ((F.col("a_h1") < F.col("b_h1")) | (F.col("a_h1") == F.col("b_h1")) & (F.col("a_h2") < F.col("b_h2")))
         & (F.abs(F.col("a_size") - F.col("b_size")) <= edits)
         & (apart <= 2 * edits)
         & (F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("a_key"))
         & F.expr(f"{bounded_distance('a_points', 'b_points', edits)} <= {edits}")
     )
     older = F.col("a_first") < F.col("b_first")
+    one_end, other_end = (F.struct(F.col(f"{x}_h1").alias("h1"), F.col(f"{x}_h2").alias("h2")) for x in "ab")
     links = a.join(b, linked).select(
-        F.when(older, F.col("a_h1")).otherwise(F.col("b_h1")).alias("a"),
-        F.when(older, F.col("b_h1")).otherwise(F.col("a_h1")).alias("b"),
+        F.when(older, one_end).otherwise(other_end).alias("a"),
+        F.when(older, other_end).otherwise(one_end).alias("b"),
         (F.col("a_first") != F.col("b_first")).alias("ordered"),
     )
     return every, known, write_and_read(links, "line-links")
@@ -159,9 +168,9 @@ def line_verdicts(documents: DataFrame, edits: int = EDITS) -> tuple[DataFrame,
 def removed_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     """removed_id, removed_row, gone (line numbers), n_near, n_links of documents with such lines."""
     every, known, links = line_verdicts(documents, edits)
-    ends = links.select(F.col("a").alias("h1"), F.lit(False).alias("late")).unionAll(links.select(F.col("b").alias("h1"), F.col("ordered").alias("late")))
-    degree = ends.groupBy("h1").agg(F.count("*").alias("links"), F.max("late").alias("near"))
-    judged = known.join(degree, "h1", "left").where("n > 1 OR links IS NOT NULL")
+    ends = links.select("a.h1", "a.h2", F.lit(False).alias("late")).unionAll(links.select("b.h1", "b.h2", F.col("ordered").alias("late")))
+    degree = ends.groupBy("h1", "h2").agg(F.count("*").alias("links"), F.max("late").alias("near"))
+    judged = known.join(degree, ["h1", "h2"], "left").where("n > 1 OR links IS NOT NULL")
     judged = judged.select("h1", "h2", "first", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("near", F.lit(False)).alias("near"))
     lines = every.drop("keys").join(judged, ["h1", "h2"])
     verdict = F.struct("line_no", "links", "near", (F.col("near") | ~_place().eqNullSafe(F.col("first"))).alias("go"))
@@ -176,14 +185,18 @@ def removed_lines(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     )
 
 
-def _joined(documents: DataFrame, removed: DataFrame) -> DataFrame:
-    same = documents["doc_id"].eqNullSafe(removed["removed_id"]) & (F.xxhash64(documents["text"]) == removed["removed_row"])
-    return documents.join(removed, same, "left")
+def _with_removed(documents: DataFrame, edits: int) -> DataFrame:
+    """`documents` as columns c0, c1, … in their order, with removed_lines; names cannot clash."""
+    columns = documents.columns
+    private = documents.toDF(*[f"c{i}" for i in range(len(columns))])
+    doc_id, text = (F.col(f"c{columns.index(c)}") for c in ("doc_id", "text"))
+    same = doc_id.eqNullSafe(F.col("removed_id")) & (F.xxhash64(text) == F.col("removed_row"))
+    return private.join(removed_lines(documents, edits), same, "left")
 
 
-def _kept_text() -> Column:
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n")
-    return F.when(F.size("gone") > 0, kept).otherwise(F.col("text"))
+def _kept_text(text: str) -> Column:
+    kept = F.array_join(F.filter(F.split(text, "\n"), lambda line, i: ~F.array_contains("gone", i)), "\n")
+    return F.when(F.size("gone") > 0, kept).otherwise(F.col(text))
 
 
 def deduplicated(documents: DataFrame, edits: int = EDITS) -> DataFrame:
@@ -192,7 +205,7 @@ def deduplicated(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     n_near: lines that are near an older different line. n_links: links of the row's lines to
     different line texts. kept_sha256 is that of the text left.
     """
-    own = _joined(documents.select("doc_id", "text"), removed_lines(documents, edits))
+    own = _with_removed(blocks.narrowed(documents, "doc_id", "text"), edits).withColumnsRenamed({"c0": "doc_id", "c1": "text"})
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return own.select(
         "doc_id",
@@ -200,7 +213,7 @@ def deduplicated(documents: DataFrame, edits: int = EDITS) -> DataFrame:
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
         count(F.col("n_near")).alias("n_near"),
         count(F.col("n_links")).alias("n_links"),
-        F.sha2(F.coalesce(_kept_text(), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+        F.sha2(F.coalesce(_kept_text("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
     )
 
 
@@ -210,9 +223,11 @@ def without_repeats(documents: DataFrame, edits: int = EDITS) -> DataFrame:
     `n_chars`, if there is such a column, follows the text; other columns stay.
     """
     columns = documents.columns
-    out = _joined(documents, removed_lines(documents, edits)).withColumn("left", _kept_text())
-    out = out.where((F.coalesce(F.size("gone"), F.lit(0)) <= 0) | (F.btrim("left", F.lit(BLANKS)) != ""))
-    out = out.withColumn("text", F.col("left"))
+    at = columns.index("text")
+    out = _with_removed(documents, edits).withColumn("kept_text", _kept_text(f"c{at}"))
+    out = out.where((F.coalesce(F.size("gone"), F.lit(0)) <= 0) | (F.btrim("kept_text", F.lit(BLANKS)) != ""))
+    follows = {at: F.col("kept_text")}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.size("gone") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in columns])
+        n = columns.index("n_chars")
+        follows[n] = F.when(F.size("gone") > 0, F.length("kept_text").cast("long")).otherwise(F.col(f"c{n}"))
+    return out.select(*[follows.get(i, F.col(f"c{i}")).alias(c) for i, c in enumerate(columns)])
