@@ -47,7 +47,7 @@ HUBS = 3
 #: than this share of the members it tried.
 FEW_COMPARISONS, WORTH = 4, 0.1
 #: Members of a bucket, and bytes of their sets, that are one block.
-BLOCK_ROWS, BLOCK_BYTES = 512, 1 << 20
+BLOCK_ROWS, BLOCK_BYTES = 2048, 8 << 20
 
 _PROFILE = "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>"
 _SETS = "doc_id long, shingles binary"
