@@ -4,67 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from passagework.operators.pages import page, sort_columns
 from passagework.operators.predicates import where
-from passagework.session import write_and_read
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType)
 
 
-def ordering(spec: Sequence[Mapping[str, str]]) -> list[Column]:
-    """`[{column: 'Asc'|'Desc'}, …]`: NULLs come last ascending and first descending."""
-    out = []
-    for entry in spec:
-        for name, direction in entry.items():
-            if direction not in ("Asc", "Desc"):
-                raise ValueError(f"direction of {name!r} must be Asc or Desc")
-            column = F.col(name)
-            out.append(
-                column.asc_nulls_last() if direction == "Asc" else column.desc_nulls_first()
-            )
-    return out
-
-
-# A page that ends within this many rows is a top-n; one task holds its rows.
-MAX_PAGE_ROWS = 1_000_000
-
+def order_of(spec: Sequence[Mapping[str, str]]) -> list[tuple[str, str]]:
+    """`[{column: 'Asc'|'Desc'}, …]` as pairs."""
+    pairs = [pair for entry in spec for pair in entry.items()]
+    for name, direction in pairs:
+        if direction not in ("Asc", "Desc"):
+            raise ValueError(f"direction of {name!r} must be Asc or Desc")
+    return pairs
 
-def row_range(
-    df: DataFrame, order: Sequence[Column], offset: int, limit: int | None
-) -> DataFrame:
-    """The rows at positions `offset + 1` to `offset + limit` of the order, however deep.
 
-    Spark's own offset would move all rows to one task. Here they are
-    range-partitioned by the order and stored; the partition counts (one
-    number each) tell which partitions lie inside, and only the one or two at
-    the edges are numbered. A random last key spreads equal rows over
-    partitions; which of them fall inside is open anyway.
-    """
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = [*order, F.col("_tie")]
-    ranged = df.withColumn("_tie", F.rand()).repartitionByRange(parts, *keys)
-    stored = write_and_read(ranged.withColumn("_part", F.spark_partition_id()), "ordered")
-
-    counts = sorted(map(tuple, stored.groupBy("_part").count().collect()))  # at most `parts` rows
-    end = None if limit is None else offset + limit
-    whole, edges, start = [], {}, 0
-    for part, n in counts:
-        if start >= offset and (end is None or start + n <= end):
-            whole.append(part)
-        elif start + n > offset and (end is None or start < end):
-            edges[part] = start
-        start += n
-    out = stored.where(F.col("_part").between(whole[0], whole[-1]) if whole else F.lit(False))
-    for part, start in edges.items():
-        place = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) + start
-        wanted = (F.col("_place") > offset) & (F.lit(True) if end is None else F.col("_place") <= end)
-        edge = stored.where(F.col("_part") == part).withColumn("_place", place).where(wanted)
-        out = out.unionByName(edge.drop("_place"))
-    return out.select(*df.columns)
+def ordering(spec: Sequence[Mapping[str, str]]) -> list[Column]:
+    """`[{column: 'Asc'|'Desc'}, …]`: NULLs come last ascending and first descending."""
+    return sort_columns(order_of(spec))
 
 
 def select_many(
@@ -76,20 +37,8 @@ def select_many(
     offset: int | None = None,
     fields: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Rows of a model.
-
-    A limit with an order is a per-task top-n, not a full sort; a page that
-    ends very deep, or not at all, is cut by `row_range`.
-    """
-    out, order, offset = where(df, where_), ordering(order_by), offset or 0
-    deep = offset + (limit or 0) > MAX_PAGE_ROWS or (offset and limit is None)
-    if deep:
-        out = row_range(out, order, offset, limit)
-    if order:
-        out = out.orderBy(*order)
-    if not deep:
-        out = out.offset(offset) if offset else out
-        out = out.limit(limit) if limit is not None else out
+    """Rows of a model, cut to a page of any depth by `pages.page`."""
+    out = page(where(df, where_), order_of(order_by), offset or 0, limit)
     return out.select(*fields) if fields else out
 
 

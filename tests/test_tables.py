@@ -3,7 +3,7 @@ from decimal import Decimal
 
 import pytest
 
-from passagework.operators import mutations, tables
+from passagework.operators import mutations, pages, tables
 from passagework.operators.context import parse_tool_input, prompt_budget, tool_rounds
 from passagework.operators.predicates import predicate, where
 from pyspark.sql import functions as F
@@ -90,28 +90,56 @@ def test_null_order(rows):
         ids("Up")
 
 
-@pytest.mark.parametrize(
-    "offset, limit", [(0, 40), (13, 20), (37, None), (99, 1), (100, 5), (250, None), (0, 0), (95, 50)]
-)
-def test_deep_pages_without_one_task(spark, plan, monkeypatch, offset, limit):
-    monkeypatch.setattr(tables, "MAX_PAGE_ROWS", 0)
-    df = spark.range(0, 100, 1, 5).selectExpr("id", "if(id % 3 = 0, null, id % 7) n")
-    out = tables.select_many(
-        df, order_by=[{"n": "Desc"}, {"id": "Asc"}], offset=offset, limit=limit, fields=["id"]
-    )
-    wanted = sorted(range(100), key=lambda i: (i % 3 != 0, -(i % 7) if i % 3 else 0, i))
+def page_rows():
+    values = [(i, None if i % 3 == 0 else i % 7, ["a", "B", None, "é"][i % 4], float("nan") if i % 11 == 0 else i / 7) for i in range(400)]
+    return values, "id long, n int, s string, f double"
+
+
+def in_order(rows, order):
+    """Sorted by the stated rules: NULLs last ascending, first descending; NaN above all numbers."""
+    out = list(rows)
+    for place, way in reversed(order):
+        value = lambda r: (r[place] is not None, isinstance(r[place], float) and r[place] != r[place], 0 if r[place] is None or r[place] != r[place] else r[place])
+        plain = lambda r: 0 if r[place] is None else value(r)[1:]
+        some, none = [r for r in out if r[place] is not None], [r for r in out if r[place] is None]
+        some.sort(key=plain, reverse=way == "Desc")
+        out = some + none if way == "Asc" else none + some
+    return out
+
+
+@pytest.mark.parametrize("order", ["n Desc, id Asc", "s Asc, f Desc, id Desc", "f Asc, id Asc", "s Desc, n Asc, id Asc"])
+@pytest.mark.parametrize("offset, limit", [(0, 40), (13, 200), (137, None), (399, 1), (400, 5), (950, None), (20, 0), (395, 50), (150, 8), (160, 170)])
+def test_deep_pages(spark, order, offset, limit):
+    rows, schema = page_rows()
+    order = [tuple(part.split()) for part in order.split(", ")]
+    df = spark.createDataFrame(rows, schema).repartition(5)
+    out = pages.page(df, order, offset, limit, edge_rows=15)
+    wanted = in_order(rows, [("id n s f".split().index(c), way) for c, way in order])
     end = None if limit is None else offset + limit
-    assert [r.id for r in out.collect()] == wanted[offset:end]
-    if limit is None:
-        assert "GlobalLimit" not in plan(out)
+    assert [r.id for r in out.collect()] == [r[0] for r in wanted[offset:end]]
+
+
+def test_deep_pages_sort_only_their_ends(spark, plan):
+    df = spark.range(0, 5000, 1, 5).selectExpr("id", "hash(id) % 1000 n")
+    out = pages.page(df, [("n", "Desc"), ("id", "Asc")], 1700, 2000, edge_rows=100)
+    # the ends are top-n over a filter on the keys; the rest is filtered only
+    shown = plan(out)
+    assert shown.count("TakeOrderedAndProject") == 2 and "GlobalLimit" not in shown
+    wanted = sorted((-r.n, r.id) for r in df.collect())[1700:3700]
+    assert [(-r.n, r.id) for r in out.collect()] == wanted
+    low, high = pages.borders(df, [("n", "Desc"), ("id", "Asc")], 1700, pages.Border(None, 0), pages.Border(None, 5000), 100)
+    assert low.rows <= 1700 < high.rows <= low.rows + 100
+    assert pages.between(df, [("n", "Desc"), ("id", "Asc")], low, high).count() == high.rows - low.rows
 
 
-def test_deep_page_over_equal_rows(spark, monkeypatch):
-    monkeypatch.setattr(tables, "MAX_PAGE_ROWS", 10)
+def test_deep_page_over_equal_rows(spark):
     df = spark.range(0, 1000, 1, 4).selectExpr("id", "1 n")
-    page = tables.select_many(df, order_by=[{"n": "Asc"}], offset=300, limit=450)
+    page = pages.page(df, [("n", "Asc")], 300, 450, edge_rows=10)
+    assert page.columns == ["id", "n"]
     assert page.select("id").distinct().count() == page.count() == 450
-    assert tables.select_many(df, offset=990).count() == 10
+    assert pages.page(df, [], 990, None, edge_rows=10).count() == 10
+    same = spark.range(0, 300, 1, 4).selectExpr("1 n", "cast(null as string) s")
+    assert pages.page(same, [("s", "Desc")], 100, 150, edge_rows=10).count() == 150
 
 
 def test_by_id_and_pages(rows):
