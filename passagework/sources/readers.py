@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from passagework import fixed, schemas
+from passagework.sources.tsv import read_records
 
 
 def read_questions_tsv(
@@ -15,13 +16,14 @@ def read_questions_tsv(
 ) -> DataFrame:
     """Tab-separated questions with a header; quoted fields may span lines.
 
-    Columns are matched by header name and other columns are left out. The
-    file may have fewer link columns, or none of the row number.
+    Columns are matched by header name and other columns are left out. Files may have
+    fewer link columns; without a `q_id` rows are numbered from 0, over all files in the
+    order of their paths. Large files are read in splits, see `tsv`.
     """
-    options = {"sep": "\t", "header": True, "quote": '"', "escape": '"', "multiLine": True}
-    raw = spark.read.options(**options).csv(path)  # header only: every column is text
-    wanted = [f for f in schemas.questions(prefix, count) if f.name in raw.columns]
-    return raw.select(*[raw[f.name].cast(f.dataType) for f in wanted])
+    fields = schemas.questions(prefix, count).fields
+    raw = read_records(spark, path, [f.name for f in fields])
+    named = {"q_id": raw["row_number"], **{c: raw[c] for c in raw.columns}}
+    return raw.select(*[named[f.name].cast(f.dataType).alias(f.name) for f in fields if f.name in named])
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:

@@ -27,6 +27,18 @@ def read_questions_tsv(spark, sf):
     return readers.read_questions_tsv(spark, path)
 
 
+@query(
+    f"""WITH {sql.LINKS}, numbered AS (SELECT q_id, row_number() OVER (ORDER BY q_id) - 1 AS n FROM questions_wide)
+    SELECT n AS q_id, slot, link FROM links JOIN numbered USING (q_id)"""
+)
+def links_of_unnumbered_questions(spark, sf):
+    """Files without row numbers: the reader numbers their rows, over all files in order."""
+    path = new_path(spark, "questions")
+    ordered = views.questions_wide(spark, sf).orderBy("q_id").drop("q_id")
+    ordered.write.options(sep="\t", header=True, quote='"', escape='"').csv(path)
+    return ingest.unpivot_links(readers.read_questions_tsv(spark, path))
+
+
 @query(f"WITH {sql.LINKS} SELECT q_id, slot, link FROM links")
 def unpivot_links(spark, sf):
     return ingest.unpivot_links(views.questions_wide(spark, sf))
