@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 #: Base of the word hash; odd, so that its powers have inverses modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 _U64 = np.uint64

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 CAPACITY = 1024
 CLOSING_ID = 0
 GROUP_DOCS = 2048
-KEPT_SPLITS = 1_000_000
+KEPT_SPLITS = 300_000
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, pack_key long"
 _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
