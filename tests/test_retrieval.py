@@ -208,6 +208,21 @@ def test_a_negative_number_of_hits_is_not_valid(spark):
     assert rows == {1: (False, 5), 2: (True, 0)}
 
 
+def test_the_last_document_is_found(spark, sf):
+    """The corpus of the whole-corpus queries leaves no document out."""
+    from workload import views
+
+    documents = views.documents(spark, sf)
+    last = documents.orderBy(F.desc("id")).first()
+    chunks = views.all_chunks(spark, sf)
+    assert chunks.select("article_id").distinct().count() == documents.where("trim(content) <> ''").count()
+    words = " ".join(last.content.split()[:40])
+    hits = answering.similar_chunks(chunks, words, views.provider(), 3).collect()
+    assert last.id in {r.articleId for r in hits}
+    titles = answering.similar_articles(views.all_titles(spark, sf), last.title, views.provider(), 3).collect()
+    assert last.title in {r.title for r in titles}
+
+
 def test_search_reads_text_only_for_hits(spark, plan, sf):
     from workload import views
 

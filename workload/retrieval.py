@@ -93,6 +93,41 @@ def similar_articles(spark, sf):
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+# the whole corpus: every document cut and embedded
+ALL_CHUNKS = f"""docs AS (SELECT doc_id AS id, text FROM documents), {sql.chunked('docs', views.SMALL_BUDGET)},
+    cut_texts AS (SELECT id * {views.CHUNK_STRIDE} + chunk_no AS id, id AS article_id, content_chunk AS text FROM cut),
+    {sql.hashed('cut_texts', 'cut_vectors')},
+    chunks AS (SELECT t.id AS chunk_id, t.article_id, t.text AS content_chunk, h.v AS content_chunk_vector
+               FROM cut_texts t JOIN cut_vectors h USING (id))"""
+ALL_TITLES = f"""titled AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS text, text AS content FROM documents),
+    {sql.hashed('titled', 'title_vectors')},
+    articles AS (SELECT t.id, t.text AS title, t.content, h.v AS title_vector FROM titled t JOIN title_vectors h USING (id))"""
+
+
+@query(
+    f"""WITH RECURSIVE {ONE_HASHED}, {ALL_CHUNKS}, {sql.ranked('chunks', 'chunk_id', 'content_chunk_vector', str(fixed.TOP_K_CHUNKS))}
+    SELECT h.id AS chunk_id, c.article_id, c.content_chunk, round(h.similarity, 6) AS similarity
+    FROM hits h JOIN chunks c ON c.chunk_id = h.id"""
+)
+def topk_all_chunks(spark, sf):
+    found = retrieve.search_one(
+        views.all_chunks(spark, sf), _search_vector(), fixed.TOP_K_CHUNKS, **answering.CHUNKS
+    )
+    return found.withColumnRenamed("id", "chunk_id").withColumn("similarity", F.round("similarity", 6))
+
+
+@query(
+    f"""WITH RECURSIVE {ONE_HASHED}, {ALL_TITLES}, {sql.ranked('articles', 'id', 'title_vector', str(fixed.TOP_K_ARTICLES))}
+    SELECT h.id, a.title, a.content, round(h.similarity, 6) AS similarity
+    FROM hits h JOIN articles a ON a.id = h.id"""
+)
+def topk_all_titles(spark, sf):
+    found = retrieve.search_one(
+        views.all_titles(spark, sf), _search_vector(), fixed.TOP_K_ARTICLES, **answering.ARTICLES
+    )
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 def _first_rows(corpus: str, id_col: str, vector_col: str, k: str) -> str:
     similar = f"similar_rows(TABLE(SELECT {id_col}, {vector_col} FROM {corpus}), '{SEARCH_TEXT}', {k})"
     return f"first_rows(TABLE(SELECT * FROM {similar}))"
@@ -210,6 +245,18 @@ def naive_rag_chunks(spark, sf):
     )
 
 
+@query(
+    _prompt_sql(f"""RECURSIVE {ASKED_HASHED}, {ALL_CHUNKS},
+    {sql.ranked('chunks', 'chunk_id', 'content_chunk_vector', str(fixed.TOP_K_CHUNKS))},
+    {sql.contexts('chunks', 'chunk_id', 'content_chunk')}""")
+)
+def rag_all_chunks(spark, sf):
+    """Every question's prompt from the whole corpus."""
+    return answering.naive_prompts_chunks(
+        views.questions(spark, sf), views.all_chunks(spark, sf), views.provider()
+    )
+
+
 @query(_prompt_sql(ARTICLE_HITS))
 def naive_rag_articles(spark, sf):
     return answering.naive_prompts_articles(

@@ -14,7 +14,7 @@ from workload import sql, views
 from workload.ingest import millionths
 from workload.registry import query
 
-SMALL_BUDGET = 512
+SMALL_BUDGET = views.SMALL_BUDGET
 DOCS = "docs AS (SELECT doc_id AS id, text FROM documents)"
 CUT_COLUMNS = "id AS article_id, chunk_no, content_chunk, n_tokens"
 

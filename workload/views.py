@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from passagework import fixed
 from passagework.functions.embedding import HashingProvider
-from passagework.session import spread
+from passagework.operators.embed import chunk_and_embed, fill_title_vectors
+from passagework.session import spread, write_and_read
 
 # declared, so that no job is started to infer them
 SCHEMAS = {
@@ -30,6 +31,9 @@ SCHEMAS = {
 }
 DIM = 64
 CHUNKS_PER_ARTICLE = 5
+SMALL_BUDGET = 512
+# Chunk numbers of an article stay below this.
+CHUNK_STRIDE = 1_000_000
 
 
 def provider(batch_size: int = fixed.CHUNK_EMBED_BATCH) -> HashingProvider:
@@ -93,6 +97,21 @@ def chunks(spark: SparkSession, sf_dir: str, *, heavy_work: bool = False) -> Dat
     )
 
 
+def all_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and embedded by the library itself, stored: no part of the corpus is left out."""
+    rows = chunk_and_embed(documents(spark, sf_dir, heavy_work=True), provider(), budget=SMALL_BUDGET)
+    numbered = rows.select(
+        (F.col("article_id") * CHUNK_STRIDE + F.col("chunk_no")).alias("chunk_id"), "article_id", "content_chunk_vector", "content_chunk"
+    )
+    return write_and_read(numbered, "all-chunks")
+
+
+def all_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an article whose title is embedded."""
+    pending = documents(spark, sf_dir, heavy_work=True).withColumn("title_vector", F.lit(None).cast("array<float>"))
+    return write_and_read(fill_title_vectors(pending, provider(fixed.TITLE_EMBED_BATCH)), "all-titles")
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("qid"), F.col("text").alias("query")
