@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from passagework import fixed
+from passagework import fixed, schemas
 from passagework.functions.urls import normalize_url, title_from_url
 from passagework.operators import constraints, embed, extract, ingest
 from passagework.plans import loading
 from passagework.session import new_path
-from passagework.sources import readers, sinks
+from passagework.sources import published, readers, sinks
 from passagework.streaming import incremental
 from workload import sql, views
 from workload.registry import query
@@ -167,6 +167,21 @@ def append_articles(spark, sf):
     return stored.select("id", "title", "content", "url", stamped)
 
 
+@query(f"WITH {sql.ARTICLES} SELECT id, title, content, url FROM articles WHERE {_STATUS} = 'processed'")
+def append_articles_checked(spark, sf):
+    """Two batches by id, published after their checks; the second comes again and is refused."""
+    path = new_path(spark, "published")
+    published.create(spark, path)
+    good = _outcomes(spark, sf).where("status = 'processed'")
+    for part in (0, 1):
+        published.append_articles(good.where(F.col("id") % 2 == part), path, views.DIM)
+    try:
+        published.append_articles(good.where("id % 2 = 1"), path, views.DIM)
+    except published.Rejected:
+        return published.read(spark, path, schemas.ARTICLES).select("id", "title", "content", "url")
+    raise AssertionError("rows with stored ids were published")
+
+
 @query(
     """SELECT page_id, url, ('0x' || substr(md5(url), 1, 3))::INT AS bucket,
            row_number() OVER (ORDER BY ('0x' || substr(md5(url), 1, 3))::INT, url) + 1000 AS id

@@ -321,6 +321,27 @@ def mutate_insert(spark, sf):
     return mutations.insert(_articles(spark, sf), objects, {"title": {"_neq": ""}}).table
 
 
+@query(
+    f"""WITH {sql.ARTICLES}, added AS (SELECT max(id) AS last FROM articles)
+    SELECT FALSE AS added, id, title, content FROM articles
+    UNION ALL SELECT TRUE, last + (SELECT count(*) FROM benchmark), text, NULL FROM benchmark, added"""
+)
+def mutate_insert_keyed(spark, sf):
+    """Under the model's contract: new titles get the next ids, no title may be NULL.
+
+    Which of them gets which is open: they are shown with the last.
+    """
+    stored, titles = _articles(spark, sf), views.questions(spark, sf).select(F.col("query").alias("title"))
+    last = stored.agg(F.max("id")).first()[0]
+    done = mutations.insert(stored, titles, {"title": {"_neq": ""}}, key="id", required=("title",))
+    ids = done.returning.agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count_distinct("id").alias("n")).first()
+    if (ids.low, ids.high, ids.n) != (last + 1, last + done.affected_rows, done.affected_rows):
+        raise AssertionError("ids are not the next ones")
+    added = F.col("id") > last
+    shown = F.when(added, F.lit(ids.high)).otherwise(F.col("id")).alias("id")
+    return done.table.select(added.alias("added"), shown, "title", "content")
+
+
 @query(
     f"""WITH {sql.ARTICLES}
     SELECT a.id,
