@@ -10,6 +10,7 @@ from passagework.functions.embedding import Provider
 from passagework.operators import context
 from passagework.operators.embed import embed
 from passagework.operators.retrieve import search, search_one
+from passagework.session import write_and_read
 
 CHUNKS = {
     "id_col": "chunk_id",
@@ -68,11 +69,10 @@ def contexts_of(
     the greatest of them; shorter contexts take the first of its hits. Texts are told apart
     by their digest, `asked_key`.
     """
-    asked = asked.select("query", "top_k").distinct()
     texts = asked.groupBy("query").agg(F.max("top_k").alias("top_k"))
     vectors = embedded_queries(texts.withColumn("qid", F.md5("query")), provider)
     hits = search(corpus, vectors, F.col("top_k"), **kind)
-    limits = asked.select(F.md5("query").alias("qid"), "top_k")
+    limits = asked.select(F.md5("query").alias("qid"), "top_k").distinct()
     own = hits.join(limits, "qid").where(F.col("rank") <= F.col("top_k"))
     return context.context_blocks(own, _text(kind), "qid", "top_k").withColumnRenamed("qid", "asked_key")
 
@@ -118,6 +118,8 @@ def tool_transcripts(
         questions.select("conv_id", F.col("query").alias("question")), "conv_id", "left"
     )
     rounds = context.parse_tool_input(rounds, F.col("question"), default_k)
+    # stored: the texts to ask, their limits and the transcript are made from it
+    rounds = write_and_read(rounds, "tool-rounds")
     answered = with_context(rounds, contexts_of(rounds, corpus, kind, provider))
     return context.transcript(questions, answered)
 
