@@ -116,49 +116,67 @@ def page_errors(pages: DataFrame, **root) -> DataFrame:
     return read_parts(pages, "content", **root).where("error IS NOT NULL").drop("content")
 
 
-def extract_sections(pages: DataFrame, **root) -> DataFrame:
-    """One row per section heading with its level and whether the section is left out."""
-    found = read_parts(pages, "sections", **root).drop("error")
-    return found.select(
-        *[c for c in found.columns if c != "sections"], F.inline("sections")
-    )
+def _listed(pages: DataFrame, part: str, with_errors: bool, root: dict) -> tuple[DataFrame, list[str]]:
+    """`pages` with one part, and the columns to keep: `error` only if asked for."""
+    found = read_parts(pages, part, **root)
+    return found, [c for c in found.columns if c != part and (with_errors or c != "error")]
+
+
+def _there(rows: DataFrame, mark: str, with_errors: bool) -> DataFrame:
+    """Rows of readable pages that have any, and the unreadable pages if asked for."""
+    there = F.col(mark).isNotNull()
+    return rows.where(there | F.col("error").isNotNull() if with_errors else there)
+
 
+def extract_sections(pages: DataFrame, *, with_errors: bool = False, **root) -> DataFrame:
+    """One row per section heading with its level and whether the section is left out.
 
-def extract_tables(pages: DataFrame, **root) -> DataFrame:
+    `with_errors` adds the column `error` and a row for every page that cannot be read, as
+    in `extract_tables` and `extract_lists`.
+    """
+    found, keep = _listed(pages, "sections", with_errors, root)
+    return _there(found.select(*keep, F.inline_outer("sections")), "section_no", with_errors)
+
+
+def extract_tables(pages: DataFrame, *, with_errors: bool = False, **root) -> DataFrame:
     """One row per non-blank table row, spans already expanded."""
-    found = read_parts(pages, "tables", **root).drop("error")
-    keep = [c for c in found.columns if c != "tables"]
-    tables = found.select(*keep, F.inline("tables"))
-    return tables.select(*keep, "table_no", "caption", F.inline("rows"))
+    found, keep = _listed(pages, "tables", with_errors, root)
+    tables = found.select(*keep, F.inline_outer("tables"))
+    rows = tables.select(*keep, "table_no", "caption", F.inline_outer("rows"))
+    return _there(rows, "row_no", with_errors)
 
 
-def extract_lists(pages: DataFrame, **root) -> DataFrame:
+def extract_lists(pages: DataFrame, *, with_errors: bool = False, **root) -> DataFrame:
     """One row per outermost list, as indented text."""
-    found = read_parts(pages, "lists", **root).drop("error")
-    keep = [c for c in found.columns if c != "lists"]
-    return found.select(*keep, F.posexplode("lists").alias("list_no", "list_text"))
+    found, keep = _listed(pages, "lists", with_errors, root)
+    rows = found.select(*keep, F.posexplode_outer("lists").alias("list_no", "list_text"))
+    return _there(rows, "list_no", with_errors)
 
 
 def _wikitext_cleaner():
-    """A UDF: readable text of wiki markup; NULL where the row cannot be read."""
+    """A UDF: readable text of wiki markup, or why there is none."""
+    arrow = pa.struct([("content", pa.string()), ("error", pa.string())])
 
     def clean(raw):
+        if raw is None:
+            return {"error": "no text"}
         try:
-            return None if raw is None else wikitext.clean(raw)
-        except Exception:  # same outcome as an unreadable page
-            return None
+            return {"content": wikitext.clean(raw)}
+        except Exception as problem:  # same outcome as an unreadable page
+            return {"error": f"{type(problem).__name__}: {problem}"}
 
-    @F.arrow_udf("string")
+    @F.arrow_udf("struct<content:string,error:string>")
     def cleaner(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([clean(raw) for raw in batch.to_pylist()], type=pa.string())
+            yield pa.array([clean(raw) for raw in batch.to_pylist()], type=arrow)
 
     return cleaner.asNondeterministic()
 
 
-def clean_wikitext(df: DataFrame, raw_col: str, out: str = "content") -> DataFrame:
-    """`df` plus the readable text of its wiki markup column."""
-    return df.withColumn(out, _wikitext_cleaner()(F.col(raw_col)))
+def clean_wikitext(df: DataFrame, raw_col: str, out: str = "content", error: str = "error") -> DataFrame:
+    """`df` plus the readable text of its wiki markup column, and why a row has none."""
+    cleaned = df.withColumn("_clean", _wikitext_cleaner()(F.col(raw_col)))
+    return cleaned.withColumns({out: F.col("_clean.content"), error: F.col("_clean.error")}).drop("_clean")
 
 
 def readable(content: Column) -> Column:

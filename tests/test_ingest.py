@@ -218,7 +218,9 @@ def test_incremental_ingest_adds_new_urls_once(spark):
 
 def test_wikitext_column(spark):
     df = spark.createDataFrame([("'''a'''",), (None,)], "raw string")
-    assert [r.content for r in extract.clean_wikitext(df, "raw").collect()] == ["a", None]
+    cleaned = extract.clean_wikitext(df, "raw").collect()
+    assert [r.content for r in cleaned] == ["a", None]
+    assert [r.error for r in cleaned] == [None, "no text"]
 
 
 def test_incremental_ingest_keeps_its_rejects(spark):

@@ -137,6 +137,41 @@ def clean_wikitext(spark, sf):
     return extract.clean_wikitext(raw, "raw").select("c_custkey", "content")
 
 
+_BROKEN = """CASE WHEN page_id % 7 = 0 THEN 'no page' WHEN page_id % 5 = 0 THEN 'content root not found' END"""
+
+
+def _broken_pages(spark, sf):
+    """Captured pages of which some are missing and some have no content root."""
+    html = F.expr("CASE WHEN page_id % 7 = 0 THEN NULL WHEN page_id % 5 = 0 THEN '<p>moved</p>' ELSE html END")
+    return views.heavy(spark, sf, "pages", "page_id").withColumn("html", html)
+
+
+@query(f"SELECT page_id, url, {_BROKEN} AS error FROM pages WHERE page_id % 7 = 0 OR page_id % 5 = 0")
+def page_errors(spark, sf):
+    return extract.page_errors(_broken_pages(spark, sf), root_id=None, root_tag="article")
+
+
+@query(
+    f"""SELECT page_id, {_BROKEN} AS error, count(*) AS n_rows FROM pages
+    WHERE page_id % 7 = 0 OR page_id % 5 = 0 GROUP BY ALL"""
+)
+def table_errors(spark, sf):
+    """Unreadable pages have one row each in the outputs of tables, lists and sections."""
+    pages, root = _broken_pages(spark, sf), {"root_id": None, "root_tag": "article"}
+    rows = extract.extract_tables(pages, with_errors=True, **root).where("error IS NOT NULL")
+    return rows.groupBy("page_id", "error").agg(F.count("*").alias("n_rows"))
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'no text' END AS error,
+      CASE WHEN c_custkey % 3 > 0 THEN c_name END AS content FROM customer"""
+)
+def wikitext_errors(spark, sf):
+    bold = F.concat(F.lit("'''"), "c_name", F.lit("'''"))
+    raw = views.table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 > 0, bold).alias("raw"))
+    return extract.clean_wikitext(raw, "raw").select("c_custkey", "error", "content")
+
+
 def _outcomes(spark, sf):
     """Documents as extraction output: over-long titles and empty texts are rejects."""
     docs = views.documents(spark, sf)
