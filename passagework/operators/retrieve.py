@@ -29,6 +29,9 @@ MAX_BROADCAST_HITS = 200_000
 MAX_FETCHED_HITS = 20_000
 MAX_LISTED_IDS = 1_000
 
+# Keys of bindings that are looked out for, and the counters of the sketch that finds them.
+MAX_HEAVY_KEYS, SKETCHED_KEYS = 200, 10_000
+
 # Hits of one query are merged in this many groups first.
 MERGE_GROUPS = 32
 
@@ -313,7 +316,8 @@ def batched_bindings(
     The table is first cut to the top rows of every key, for the largest limit
     in use. With that limit as a literal Spark trims each task's rows before
     the shuffle, so a key owning a third of the table, or bound many times,
-    stays cheap. Bindings multiply only these few rows.
+    stays cheap. Bindings multiply only these few rows. The bindings of a key that is bound
+    more often than a task's share are dealt to several tasks, which all get its few rows.
     """
     most = bindings.agg(F.max(limit_col).alias("most")).first()["most"] or 0
     order = Window.partitionBy(key).orderBy(*order_by)
@@ -322,4 +326,27 @@ def batched_bindings(
         .where(F.col("rank") <= most)
         .select(key, "rank", *[f for f in fields if f != key])
     )
-    return bindings.join(top, key).where(F.col("rank") <= F.col(limit_col))
+    shares = key_shares(bindings, key)
+    if shares:
+        kind = bindings.schema[key].dataType.simpleString()
+        # at most MAX_HEAVY_KEYS rows
+        heavy = F.broadcast(bindings.sparkSession.createDataFrame(shares, f"`{key}` {kind}, _shares int"))
+        own = F.coalesce("_shares", F.lit(1))
+        bindings = bindings.join(heavy, key, "left").withColumn("_share", F.pmod(F.xxhash64(F.monotonically_increasing_id()), own))
+        top = top.join(heavy, key, "left").withColumn("_share", F.explode(F.sequence(F.lit(0).cast("bigint"), own.cast("bigint") - 1)))
+        bindings, top = bindings.drop("_shares"), top.drop("_shares")
+    keys = [key, "_share"] if shares else [key]
+    return bindings.join(top, keys).where(F.col("rank") <= F.col(limit_col)).drop("_share")
+
+
+def key_shares(rows: DataFrame, key: str) -> list[tuple[object, int]]:
+    """Keys with more rows than an even share of a shuffle's tasks, and by how many shares.
+
+    A frequency sketch, merged from the tasks', finds them in one pass; it never misses a key
+    that has more than one in a few hundred rows.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sketch = F.expr(f"approx_top_k(`{key}`, {MAX_HEAVY_KEYS}, {SKETCHED_KEYS})")
+    facts = rows.where(F.col(key).isNotNull()).agg(F.count("*").alias("n"), sketch.alias("top")).first()
+    share = max(1, -(-facts["n"] // tasks))
+    return [(r["item"], -(-r["count"] // share)) for r in facts["top"] or [] if r["count"] > share]

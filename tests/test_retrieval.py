@@ -271,6 +271,31 @@ def test_search_articles_takes_words_from_title_or_text(spark):
     assert retrieve.search_articles(df, "").count() == 0
 
 
+def test_bindings_of_a_hot_key_are_spread(spark):
+    table = spark.range(200).selectExpr("id % 20 key", "id")
+    bindings = spark.range(0, 3000, 1, 6).selectExpr("id b", "if(id % 3 = 0, 7L, if(id % 500 = 1, null, id % 40)) key", "cast(id % 4 as int) k")
+    assert [key for key, shares in retrieve.key_shares(bindings, "key")] == [7]
+    out = retrieve.batched_bindings(table, bindings, key="key", order_by=[F.desc("id")], fields=["id"])
+    wanted = set()
+    for b in range(3000):
+        key, k = 7 if b % 3 == 0 else None if b % 500 == 1 else b % 40, b % 4
+        if key is not None and key < 20:
+            wanted |= {(b, key, k, rank + 1, 200 - 20 * (rank + 1) + key) for rank in range(k)}
+    assert {(r.b, r.key, r.k, r["rank"], r.id) for r in out.collect()} == wanted and out.count() == len(wanted)
+    # shuffled on the key alone, one task would have all rows of the hot key
+    forced = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {name: spark.conf.get(name) for name in forced}
+    try:
+        for name, value in forced.items():
+            spark.conf.set(name, value)
+        out = retrieve.batched_bindings(table, bindings, key="key", order_by=[F.desc("id")], fields=["id"])
+        sizes = [r["count"] for r in out.where("key = 7").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert len(sizes) > 2 and max(sizes) < 0.75 * sum(sizes)
+
+
 def test_bindings_trim_a_hot_key_before_the_shuffle(spark, plan):
     table = spark.range(900).selectExpr("if(id % 3 = 0, 'hot', cast(id as string)) key", "id")
     bindings = spark.createDataFrame(
