@@ -18,8 +18,10 @@ from passagework.functions.vectors import LocalTopK, inner_product, matrix
 from passagework.session import new_path
 
 # What a task holds at once of the corpus and of the stored queries, in bytes of vectors.
-CORPUS_BLOCK_BYTES = 64 << 20
-QUERY_BLOCK_BYTES = 64 << 20
+CORPUS_BLOCK_BYTES = 32 << 20
+QUERY_BLOCK_BYTES = 8 << 20
+# Queries from which on scoring costs far more than dealing the corpus's vectors to all cores.
+MIN_QUERIES_TO_DEAL = 2_000
 # Rows of one stored file of queries.
 QUERY_FILE_ROWS = 50_000
 # Hits joined back to their text are broadcast up to this many rows.
@@ -182,9 +184,11 @@ def nearest(
     """The `k` best rows for every query, ranked; ties go to the smaller id.
 
     `k` may be a column of `queries`; NULL vectors take no part. Queries are stored and
-    read by the tasks that hold the corpus, which is neither shuffled nor copied; at most
-    corpus blocks x queries x k narrow rows are, trimmed by Spark in every task. Texts are
-    joined to the final hits, see `search`.
+    read by the tasks that hold the corpus, which is not copied; at most corpus blocks x
+    queries x k narrow rows are shuffled, trimmed by Spark in every task. Few queries meet
+    the corpus where it lies. For many its ids and vectors are first dealt evenly, a task
+    for each core: a narrow table lies in a few partitions, and its tasks would do all the
+    work. Texts are joined to the final hits, see `search`.
     """
     corpus = _vectors_of(corpus, id_col, vector_col)
     k = F.lit(k) if isinstance(k, int) else k
@@ -196,6 +200,8 @@ def nearest(
     if not store.k_sum:
         none = corpus.sparkSession.createDataFrame([], schema)
         return Hits(none.drop("k").withColumn("rank", F.lit(0)), 0)
+    if store.rows >= MIN_QUERIES_TO_DEAL:
+        corpus = corpus.repartition(corpus.sparkSession.sparkContext.defaultParallelism)
     found = _scored(corpus, partial(store.blocks, query_block_bytes), store.dim, schema)
     return Hits(_merge(found, store.k_max), store.k_sum)
 

@@ -93,6 +93,48 @@ def test_the_corpus_is_scored_where_it_lies(spark, plan):
     assert "Scan parquet" in below and "Exchange" not in below and "Join" not in below
 
 
+def test_many_queries_meet_the_corpus_on_all_cores(spark, monkeypatch):
+    """However few partitions the vectors lie in, every core gets a share of them."""
+    monkeypatch.setattr(retrieve, "MIN_QUERIES_TO_DEAL", 30)
+    shares = []
+    real = retrieve._scored
+    monkeypatch.setattr(retrieve, "_scored", lambda corpus, *more: shares.append(corpus) or real(corpus, *more))
+    r = np.random.default_rng(5)
+    rows = [(i, v.tolist()) for i, v in enumerate(r.integers(-2, 3, (90, 4)).astype(float))]
+    corpus = spark.createDataFrame(rows, "id long, v array<float>").coalesce(1)
+    for n in (29, 30):
+        queries = spark.createDataFrame([(i, rows[i][1]) for i in range(n)], "qid int, q array<float>")
+        hits = retrieve.nearest(corpus, queries, 3, id_col="id", vector_col="v").rows.collect()
+        for q in range(n):
+            best = sorted((-float(np.dot(rows[q][1], v)), i) for i, v in rows)[:3]
+            assert sorted((h["rank"], h["id"]) for h in hits if h["qid"] == q) == [(k + 1, i) for k, (_, i) in enumerate(best)]
+    assert [c.rdd.getNumPartitions() for c in shares] == [1, spark.sparkContext.defaultParallelism]
+
+
+def test_only_near_pairs_are_scored_in_full(monkeypatch):
+    """Few pairs are scored in double precision, and those that single precision cannot tell apart are."""
+    from passagework.functions import vectors as helper
+
+    r = np.random.default_rng(8)
+    rows, queries = r.normal(size=(20_000, 16)), r.normal(size=(300, 16))
+    rows[5000:5400] = rows[4999] * (1 + r.integers(0, 40, (400, 1)) * 1e-9)
+    queries[:20] = rows[4999]
+    rows[777, 3], rows[778, 3], rows[779, 3] = np.nan, np.inf, 1e200
+    k, ids, scored = r.integers(0, 9, 300), r.permutation(20_000), []
+    real = helper._Tile._dense
+    monkeypatch.setattr(helper._Tile, "_dense", lambda tile, some, i, v: scored.append(len(some) * len(i)) or real(tile, some, i, v))
+    best = LocalTopK(queries, k)
+    for a in range(0, 20_000, 7000):
+        best.add(ids[a : a + 7000], rows[a : a + 7000])
+    with np.errstate(invalid="ignore"):
+        exact = np.round(queries @ rows.T, 12)
+    exact[np.isnan(exact)] = -np.inf
+    for q in range(300):
+        wanted = [ids[i] for i in np.lexsort((ids, -exact[q]))[: k[q]]]
+        assert best.ids[best.q == q].tolist() == wanted
+    assert sum(scored) < rows.shape[0] * len(queries) // 8
+
+
 def test_queries_must_be_unique_and_limits_natural(spark):
     _, _, c, q = make(spark, n=20, n_queries=3)
     for wrong, k in ((q.unionAll(q), 2), (q, -1), (q.withColumn("qid", F.lit(None).cast("long")), 2)):
