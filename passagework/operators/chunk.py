@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from passagework import fixed
 from passagework.functions import chunking
+from passagework.functions.arrays import slices
 
 CHUNK_TYPE = "array<struct<chunk_no:int,content_chunk:string,n_tokens:bigint>>"
 ARROW_CHUNKS = pa.list_(
@@ -31,7 +32,8 @@ def chunker(budget: int, count: chunking.TokenCounter = chunking.estimate_counts
     @F.arrow_udf(CHUNK_TYPE)
     def cut_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([cut(text) for text in batch.to_pylist()], type=ARROW_CHUNKS)
+            for (part,) in slices(batch):
+                yield pa.array([cut(text) for text in part.to_pylist()], type=ARROW_CHUNKS)
 
     return cut_batches.asNondeterministic()
 

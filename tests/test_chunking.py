@@ -1,10 +1,11 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from passagework.functions import chunking, text
+from passagework.functions import arrays, chunking, text
 from passagework.operators import chunk, table_functions
 
 texts = st.text(alphabet="ab \n\u00e9\u00a0", max_size=60)
@@ -105,3 +106,28 @@ def test_table_function(spark, plan):
 def test_chunking_runs_once_per_text(spark, plan):
     docs = spark.createDataFrame([(1, "a")], "id int, content string").repartition(2, "id")
     assert plan(chunk.chunk_documents(docs)).count("ArrowEvalPython") == 1
+
+
+def test_parts_of_batches_hold_few_bytes_and_full_requests(monkeypatch):
+    texts = pa.array(["x" * 400, None, "y" * 700, "", "z" * 5000, None, None, "u", "v", "w"])
+    numbers = pa.array(range(10))
+    monkeypatch.setattr(arrays, "SLICE_BYTES", 1000)
+    parts = list(arrays.slices(texts, numbers))
+    assert [p.to_pylist() for _, p in parts] == [[0, 1], [2, 3], [4], [5, 6, 7, 8, 9]]
+    assert [t for p, _ in parts for t in p.to_pylist()] == texts.to_pylist()
+    for step in (2, 3):
+        sizes = [len(p) - p.null_count for p, _ in arrays.slices(texts, numbers, step=step)]
+        assert all(n % step == 0 for n in sizes[:-1]) and sum(sizes) == 7
+    assert list(arrays.slices(texts[:0])) == []
+
+
+def test_workers_hand_texts_on_in_parts(spark, monkeypatch):
+    """A batch of many texts is neither read nor returned as a whole."""
+    handed = chunk.chunker(4).func(iter([pa.array(["a b\nc"] * 5001)]))
+    sizes = [len(part) for part in handed]
+    assert sum(sizes) == 5001 and max(sizes) <= arrays.SLICE_ROWS
+    body = "word " * 3000
+    rows = spark.range(300, numPartitions=1).select(F.col("id"), F.when(F.col("id") % 7 > 0, F.lit(body)).alias("content"))
+    counts = chunk.chunk_documents(rows, budget=1000).groupBy("article_id").count().collect()
+    assert sorted(r["article_id"] for r in counts) == [i for i in range(300) if i % 7]
+    assert {r["count"] for r in counts} == {len(list(chunking.chunks(body, 1000)))}
