@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from passagework import fixed
 from passagework.functions import chunking
+from passagework.functions.arrays import slices
 from passagework.functions.embedding import Provider, TooLong
 from passagework.operators.chunk import chunk_documents
 
@@ -48,12 +49,13 @@ def embedder(provider: Provider):
     @F.arrow_udf(RESULT_TYPE)
     def embed_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = batch.to_pylist()
-            out: list[dict | None] = [None] * len(texts)
-            present = [i for i, text in enumerate(texts) if text is not None]
-            for place, result in zip(present, _ask_all(provider, [texts[i] for i in present])):
-                out[place] = result
-            yield pa.array(out, type=ARROW_RESULT)
+            for (part,) in slices(batch, step=provider.batch_size):
+                texts = part.to_pylist()
+                out: list[dict | None] = [None] * len(texts)
+                present = [i for i, text in enumerate(texts) if text is not None]
+                for place, result in zip(present, _ask_all(provider, [texts[i] for i in present])):
+                    out[place] = result
+                yield pa.array(out, type=ARROW_RESULT)
 
     return embed_batches.asNondeterministic()
 
@@ -120,8 +122,9 @@ def chunk_and_embed(
 
     @F.arrow_udf(EMBEDDED_TYPE)
     def embed_chunks(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, tokens in batches:
-            yield pa.array(settle(texts.to_pylist(), tokens.to_pylist()), type=arrow)
+        for batch in batches:
+            for texts, tokens in slices(*batch, step=provider.batch_size):
+                yield pa.array(settle(texts.to_pylist(), tokens.to_pylist()), type=arrow)
 
     embed_once = embed_chunks.asNondeterministic()
     done = cut.select(
