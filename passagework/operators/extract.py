@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from passagework import fixed
 from passagework.functions import html, wikitext
+from passagework.functions.arrays import slices
 
 SECTION_TYPE = "struct<section_no:int,level:int,heading:string,skipped:boolean>"
 ROW_TYPE = "struct<row_no:int,is_header:boolean,cells:array<string>>"
@@ -84,7 +85,8 @@ def _reader(parts: tuple[str, ...], root_id: str | None, root_tag: str | None):
     @F.arrow_udf(f"struct<{schema},error:string>")
     def reader(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([read(page) for page in batch.to_pylist()], type=arrow)
+            for (part,) in slices(batch):
+                yield pa.array([read(page) for page in part.to_pylist()], type=arrow)
 
     return reader.asNondeterministic()
 
@@ -168,7 +170,8 @@ def _wikitext_cleaner():
     @F.arrow_udf("struct<content:string,error:string>")
     def cleaner(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([clean(raw) for raw in batch.to_pylist()], type=arrow)
+            for (part,) in slices(batch):
+                yield pa.array([clean(raw) for raw in part.to_pylist()], type=arrow)
 
     return cleaner.asNondeterministic()
 
