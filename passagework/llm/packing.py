@@ -6,8 +6,9 @@ pieces, longest first, go into the first sequence with room, found in a tourname
 whose nodes hold the greatest room below them. Groups are independent tasks.
 
 Token ids come from the `tokenizers` library. Its splitting rule is applied to whole slices
-of text with numpy, and the library is asked once for every different split; the ids it
-gave are kept per worker, `KEPT_SPLITS` at most, then the store starts anew.
+of text with numpy, and the library is asked once for every different split, for many of
+them in one text (see `SplitIds.ask`); the ids it gave are kept per worker, `KEPT_SPLITS` at
+most, then the store starts anew.
 
 The tokenizer file's added tokens ("<|endoftext|>") are plain text by default. With
 `added_tokens` texts are cut at them first and they get their own ids, as a call of the
@@ -37,6 +38,7 @@ CAPACITY = 1024
 CLOSING_ID = 0
 GROUP_DOCS = 2048
 KEPT_SPLITS = 300_000
+ASKED_TOGETHER = 1000
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, pack_key long"
 _PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -105,6 +107,10 @@ class SplitIds:
         self.tokenizer.encode_special_tokens = True
         self._clear()
         self.added = self._added_tokens()
+        # the byte-level alphabet has a letter for every byte; tokens added later do not count
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.token_bytes = np.zeros(1 + max([*vocabulary.values(), *self.tokenizer.get_added_tokens_decoder()]), np.int64)
+        self.token_bytes[list(vocabulary.values())] = [len(token) for token in vocabulary]
 
     def _added_tokens(self) -> tuple[regex.Pattern, dict[str, int]] | None:
         """A pattern of the tokens that the file adds, the longest first, and their ids."""
@@ -123,8 +129,44 @@ class SplitIds:
         self.ids = np.empty(0, np.uint32)
         self.bounds = np.zeros(1, np.int64)
 
-    def lookup(self, hashes: np.ndarray, text_of) -> np.ndarray:
-        """For every hash the place of its ids; `text_of(i)` is the split with index i."""
+    def ask(self, splits: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all splits and how many each has.
+
+        Most of a call for one split is overhead, so splits are asked together, with a line
+        feed before those that do not begin with a blank. A split counts only if the splitting
+        rule finds just it in that text and tokens begin and end with it; the others, such as
+        white space, are asked alone.
+        """
+        fed = [s if s.startswith(b" ") else b"\n" + s for s in splits]
+        joined = [b"".join(fed[a : a + ASKED_TOGETHER]) for a in range(0, len(fed), ASKED_TOGETHER)]
+        found = self.tokenizer.encode_batch_fast([j.decode() for j in joined], add_special_tokens=False)
+        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, np.uint32) for e in found)])
+        data = np.frombuffer(b"".join(joined), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, fed), np.int64, len(fed)))
+        begins = ends - np.fromiter(map(len, splits), np.int64, len(splits))
+        edges = np.append(0, ends)[:-1:ASKED_TOGETHER]
+        chars = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        char_at = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        cuts = np.append(char_at[np.flatnonzero(split_starts(chars, np.searchsorted(char_at, edges)))], len(data))
+        token_at = np.concatenate([[0], np.cumsum(self.token_bytes[ids])])
+        at, first, last = np.searchsorted(cuts, begins), np.searchsorted(token_at, begins), np.searchsorted(token_at, ends)
+        good = np.zeros(len(splits), bool)
+        if token_at[-1] == len(data):
+            good = (cuts[at] == begins) & (cuts[np.minimum(at + 1, len(cuts) - 1)] == ends) & (token_at[first] == begins) & (token_at[last] == ends)
+        counts = np.where(good, last - first, 0)
+        alone = np.flatnonzero(~good)
+        own = [e.ids for e in self.tokenizer.encode_batch_fast([splits[i].decode() for i in alone], add_special_tokens=False)]
+        counts[alone] = list(map(len, own))
+        total = np.cumsum(counts)
+        out = np.empty(int(total[-1]) if len(total) else 0, np.uint32)
+        from_joined = np.repeat(good, counts)
+        pick = np.repeat(first - (total - counts), counts) + np.arange(len(out))
+        out[from_joined] = ids[pick[from_joined]]
+        out[~from_joined] = [x for found in own for x in found]
+        return out, counts
+
+    def lookup(self, hashes: np.ndarray, split_of) -> np.ndarray:
+        """For every hash the place of its ids; `split_of(i)` is the split with index i."""
         distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.keys) + len(distinct) > KEPT_SPLITS:
             self._clear()
@@ -133,10 +175,9 @@ class SplitIds:
         known[known] = self.keys[at[known]] == distinct[known]
         new = np.flatnonzero(~known)
         if len(new):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([text_of(i) for i in first[new]], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            ids, sizes = self.ask([split_of(i) for i in first[new].tolist()])
             place = len(self.bounds) - 1 + np.arange(len(new))
-            self.ids = np.concatenate([self.ids, np.fromiter((x for f in found for x in f), np.uint32, int(sizes.sum()))])
+            self.ids = np.concatenate([self.ids, ids])
             self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
             self.keys = np.insert(self.keys, at[new], distinct[new])
             self.place = np.insert(self.place, at[new], place)
@@ -154,7 +195,7 @@ class SplitIds:
         edges = np.unique(np.searchsorted(char_at, offsets[:-1][offsets[:-1] < len(data)]))
         starts = char_at[np.flatnonzero(split_starts(chars, edges))]
         ends = np.append(starts[1:], len(data))
-        place = self.lookup(blocks.span_hashes(data, starts, ends), lambda i: raw[starts[i] : ends[i]].decode())
+        place = self.lookup(blocks.span_hashes(data, starts, ends), lambda i: raw[starts[i] : ends[i]])
         sizes = np.diff(self.bounds)[place]
         total = np.concatenate([[0], np.cumsum(sizes)])
         pick = np.repeat(self.bounds[place] - total[:-1], sizes) + np.arange(total[-1])

@@ -43,6 +43,27 @@ def test_splits_are_the_tokenizers():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == e.ids
 
 
+def test_the_tokenizer_is_asked_for_many_splits_at_once():
+    with open(packing_path(), encoding="utf-8") as file:
+        mine = packing.SplitIds(file.read())
+    real, asked, r = mine.tokenizer, [], random.Random(4)
+
+    class Counted:
+        def encode_batch_fast(self, texts, **flags):
+            asked.extend(texts)
+            return real.encode_batch_fast(texts, **flags)
+
+    mine.tokenizer = Counted()
+    odd = ["  ", "\n", "'", "'s", " '", "don", "é\x85", " ", "<|", "endoftext", "|>", "\n\n", "x\ny", "5", " 中½"]
+    splits = [*odd, *(" " * (i % 2) + "".join(r.choices("aeiounrst", k=6)) for i in range(5000)), *odd]
+    ids, sizes = mine.ask([s.encode() for s in splits])
+    ends = sizes.cumsum()
+    for split, a, b in zip(splits, ends - sizes, ends):
+        assert ids[a:b].tolist() == real.encode(split, add_special_tokens=False).ids
+    assert len(asked) < 40
+    assert [len(x) for x in mine.ask([])] == [0, 0]
+
+
 def test_added_tokens_are_the_tokenizers():
     from tokenizers import Tokenizer
 
