@@ -6,6 +6,8 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 from pathlib import Path
 
@@ -70,17 +72,35 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def write_and_read(df: DataFrame, name: str) -> DataFrame:
+def write_and_read(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Store `df` in the shared folder and go on from the stored copy.
 
     Used where a costly result feeds several consumers: it cuts the lineage,
     and a lost executor rereads files instead of recomputing the whole plan.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Spark's setting by which a query's shuffle files are removed when it ends, not when the driver collects its garbage.
+_REMOVE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries that run inside leave no shuffle files when they have ended."""
+    before = spark.conf.get(_REMOVE_SHUFFLES, None)
+    spark.conf.set(_REMOVE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_REMOVE_SHUFFLES)
+        else:
+            spark.conf.set(_REMOVE_SHUFFLES, before)
+
+
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Repartition a plain file scan that has fewer partitions than the cluster has cores.
 

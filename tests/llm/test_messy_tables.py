@@ -1,9 +1,13 @@
 """Each operator on a small table with nulls, empty, long and repeated texts and clashing names, against its plain version."""
 
 import random
+import time
 import zlib
+from pathlib import Path
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from passagework.llm import decontaminate, host_rules, language, line_dedup, near_dedup, packing, pii, quality, sharding, suffix_dedup
@@ -104,6 +108,76 @@ def test_suffix_dedup_string_by_string(documents, monkeypatch):
     assert rows(suffix_dedup.deduplicated(documents), *columns) == sorted(brute.suffix_dedup(DOCS, 50), key=repr)
 
 
+def sent_shards(table):
+    """Rows and bytes that a step of suffix_dedup sends for `table`, and how many rows have pieces."""
+    rows_ = table.collect()
+    return len(rows_), sum(len(x) for r in rows_ for x in r if isinstance(x, (bytes, bytearray))), sum(r.pieces is not None for r in rows_)
+
+
+def test_suffix_dedup_sends_shards_in_groups(spark):
+    """A row for every task and shard would be a row for every piece, once there are many of both."""
+    r = random.Random(11)
+    text = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    docs = [(i, i, text(400)) for i in range(200)]
+
+    def all_runs(batches):
+        for batch in batches:
+            numbers = [[np.arange(100, dtype=np.uint32).tobytes()]] * batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.list_(pa.binary()))], names=[*batch.schema.names, "ordinals"])
+
+    df = spark.createDataFrame(docs, "doc_id long, row_hash long, text string").repartition(4)
+    marked = df.selectExpr("doc_id", "row_hash", "cast(text as binary) text").mapInArrow(all_runs, "doc_id long, row_hash long, text binary, ordinals array<binary>")
+    none = np.empty(0, np.uint64)
+    many, few = (sent_shards(marked.mapInArrow(suffix_dedup._send_pieces(50, shards, 5, none), suffix_dedup._GROUPED)) for shards in (5000, 5))
+    assert many[0] == few[0] and many[2] <= 4 * 5
+    assert many[1] < 1.2 * few[1]
+
+
+def test_suffix_dedup_marks_no_chance_repeats(spark):
+    """Texts that share 20 bytes or 32 have no string of 50 in common; their runs are not sent."""
+    r = random.Random(13)
+    text = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    short, longer, passage = text(20), text(32), text(60)
+    docs = [(i, text(90) + (short, longer)[i % 2] + text(90)) for i in range(60)] + [(i, text(90) + passage + text(90)) for i in (60, 61)]
+    table = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    buckets = 7
+    runs = table.mapInArrow(suffix_dedup._find_runs(50, buckets), suffix_dedup._RUNS)
+    shared = runs.groupBy("bucket").applyInArrow(suffix_dedup._share, suffix_dedup._MARKED_RUNS)
+    shared = shared.groupBy("chunk").applyInArrow(suffix_dedup._by_document, suffix_dedup._SHARED)
+    assert sorted(x.doc_id for x in shared.collect()) == [60, 61]
+
+
+def test_suffix_dedup_in_turns(documents, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(suffix_dedup, "TURN_SHARE", 0.5)
+    turns = []
+    send = suffix_dedup._send_pieces
+    monkeypatch.setattr(suffix_dedup, "_send_pieces", lambda *a: turns.append(a[-2:]) or send(*a))
+    columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert rows(suffix_dedup.deduplicated(documents), *columns) == sorted(brute.suffix_dedup(DOCS, 50), key=repr)
+    assert len(turns) > 1 and turns == [(i, len(turns)) for i in range(len(turns))]
+
+
+def test_suffix_dedup_leaves_no_shuffle_files(spark, documents):
+    """The disk holds the shuffle files of one step at a time."""
+    folder = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0])
+    held = lambda: sum(f.stat().st_size for f in folder.rglob("shuffle_*.data"))
+    before = held()
+    suffix_dedup.removed_ranges(documents)
+    for _ in range(50):
+        if held() <= before:
+            break
+        time.sleep(0.2)
+    assert held() <= before
+
+
+@pytest.mark.parametrize("values", [[], [0], [5, 5, 5], [-(2**63), 2**63 - 1, 0, -1, 1], [3, 2**40, 7], list(range(1000))])
+def test_suffix_dedup_numbers_pressed(values):
+    x = np.array(values, np.int64)
+    a, b = suffix_dedup._numbers(suffix_dedup._pressed_numbers(x, x[::-1]))
+    assert a.tolist() == values and b.tolist() == values[::-1]
+
+
 def test_suffix_dedup_parts_a_common_passage(spark, monkeypatch, tmp_path):
     """A license line in every text, with other text around it each time, is more than one shard takes."""
     r = random.Random(7)
